@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, topk, warc
+from . import decontaminate, mixing, tokenbin, topk, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1,
+    "op5_elias_fano_token_ids": tokenbin.op5,
     "op6_sainte_lague_mixing": mixing.op6,
     "op9_threshold_topk": topk.op9,
     "op10_suffix_decontamination": decontaminate.op10,
