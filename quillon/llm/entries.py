@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, tokenbin, topk, warc
+from . import decontaminate, maincontent, mixing, tokenbin, topk, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1,
     "op5_elias_fano_token_ids": tokenbin.op5,
     "op6_sainte_lague_mixing": mixing.op6,
+    "op7_mincut_main_text": maincontent.op7,
     "op9_threshold_topk": topk.op9,
     "op10_suffix_decontamination": decontaminate.op10,
 }
