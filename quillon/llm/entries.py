@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, maincontent, mixing, tokenbin, topk, warc
+from . import decontaminate, maincontent, mixing, quality, tokenbin, topk, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1,
+    "op2_weak_label_quality": quality.op2,
     "op5_elias_fano_token_ids": tokenbin.op5,
     "op6_sainte_lague_mixing": mixing.op6,
     "op7_mincut_main_text": maincontent.op7,
