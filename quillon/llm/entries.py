@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, maincontent, mixing, quality, tokenbin, topk, warc
+from . import decontaminate, jaccard, maincontent, mixing, quality, suffixdedup, tokenbin, topk, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1,
     "op2_weak_label_quality": quality.op2,
     "op3_parity_jaccard_join": jaccard.op3,
+    "op4_bwt_merge_dedup": suffixdedup.op4,
     "op5_elias_fano_token_ids": tokenbin.op5,
     "op6_sainte_lague_mixing": mixing.op6,
     "op7_mincut_main_text": maincontent.op7,
