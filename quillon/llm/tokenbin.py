@@ -28,7 +28,10 @@ writes no file and gives no rows; the text's length is not limited.
 
 from __future__ import annotations
 
+import functools
 import json
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -42,12 +45,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, scratch, table, text_slices, width
+from .common import UPPER_TO_LOWER, pieces, scratch, table, text_slices, width
 
 MAGIC = b"EFTOKEN1"
 BLOCK = 1 << 16
 SAMPLE = 256
-CACHED = 400_000
+CACHED = 900_000
+TRAILING = re.compile(rb"(?<=[a-z])([!#$%&*,.:;?|]+)(?=[ \t\n\r\f\v]|\Z)")
 
 
 class EliasFano:
@@ -96,34 +100,72 @@ class EliasFano:
 
 
 class ChunkTokenizer:
-    """Ids of a text as bytes of a fixed width."""
+    """Ids of a text as bytes of a fixed width, from its pieces' ids.
 
-    def __init__(self, path: str):
-        import os
+    For tokenizers that lower-case, drop white space and never join letters with
+    punctuation, the text may be lower-cased and trailing punctuation set apart
+    beforehand: fewer distinct pieces. Neither is done where it could matter
+    (special tokens; combining marks, which upper-case letters may not compose with).
+    """
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        ends = [(i, t) for t, i in self.tokenizer.get_vocab().items()]
+        self.is_end = np.zeros(max(i for i, _ in ends) + 1, bool)
+        self.is_end[[i for i, t in ends if t.endswith("</w>")]] = True
+
+    def split(self, text: bytes | None) -> list[bytes]:
+        if not text:
+            return []
+        if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
+            text = TRAILING.sub(rb" \1", text.translate(UPPER_TO_LOWER))
+        return text.split()
+
+    def learn(self, new: set[bytes]) -> None:
+        """Words of letters are encoded many to a call and told apart by their word ends; other pieces one by one."""
+        words, rest = [], []
+        for x in new:
+            s = x.decode()
+            (words if s.isalpha() and s.lower().isalpha() else rest).append((x, s))
+        for k in range(0, len(words), 512):
+            some = words[k : k + 512]
+            ids = np.array(self.tokenizer.encode(" ".join(s for _, s in some), add_special_tokens=False).ids)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(some):
+                rest += some
+                continue
+            data, size, at = ids.astype(self.dtype).tobytes(), self.dtype.itemsize, 0
+            for (x, _), end in zip(some, ends.tolist(), strict=True):
+                self.known[x] = data[at * size : end * size]
+                at = end
+        for k in range(0, len(rest), 10_000):
+            some = rest[k : k + 10_000]
+            for (x, _), e in zip(some, self.tokenizer.encode_batch([s for _, s in some], add_special_tokens=False), strict=True):
+                self.known[x] = np.array(e.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [(t or b"").split() for t in texts]
+        split = [self.split(t) for t in texts]
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > CACHED:
             self.known.clear()
             new = set().union(*split)
         if new:
-            new = list(new)
-            for k in range(0, len(new), 10_000):
-                some = new[k : k + 10_000]
-                for chunk, e in zip(some, self.tokenizer.encode_batch([x.decode() for x in some], add_special_tokens=False), strict=True):
-                    self.known[chunk] = np.array(e.ids, self.dtype).tobytes()
+            self.learn(new)
         of = self.known.__getitem__
         return [b"".join(map(of, chunks)) for chunks in split]
 
 
+@functools.cache
+def tokenizer_of(path: str) -> ChunkTokenizer:
+    """One per worker process, kept between its tasks."""
+    return ChunkTokenizer(path)
+
+
 def _filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri)
 
@@ -222,7 +264,7 @@ def write_ids(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 1
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, writer, done = None, None, []
         for batch in batches:
-            coder = coder or ChunkTokenizer(tokenizer)
+            coder = coder or tokenizer_of(tokenizer)
             end = np.array([end_id], coder.dtype).tobytes()
             for i, j in pieces(batch.column("text")):
                 texts = list(text_slices(batch.column("text").slice(i, j - i)))
