@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, maincontent, mixing, quality, suffixdedup, tokenbin, topk, warc
+from . import decontaminate, jaccard, maincontent, mixing, pii, quality, suffixdedup, tokenbin, topk, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_elias_fano_token_ids": tokenbin.op5,
     "op6_sainte_lague_mixing": mixing.op6,
     "op7_mincut_main_text": maincontent.op7,
+    "op8_bootstrapped_pii": pii.op8,
     "op9_threshold_topk": topk.op9,
     "op10_suffix_decontamination": decontaminate.op10,
 }
