@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word contracts: the ASCII set of bytes.split().
@@ -90,6 +90,57 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+U = np.uint64
+BASE = U(0x9E3779B97F4A7C15)
+INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+BYTES = mix64(np.arange(1, 257, dtype=U) * BASE)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i for i < n, grown as needed."""
+    have = _powers.__dict__.setdefault("table", (np.ones(1, U), np.ones(1, U)))
+    if len(have[0]) < n:
+        size = max(n, 1 << 17)
+        up, down = np.full(size, BASE, U), np.full(size, INVERSE, U)
+        up[0] = down[0] = 1
+        have = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        if size <= 1 << 22:
+            _powers.table = have
+    return have
+
+
+class Rolling:
+    """64-bit hashes of any substring of a text."""
+
+    def __init__(self, raw: np.ndarray):
+        up, self.down = _powers(len(raw) + 1)
+        self.sums = np.zeros(len(raw) + 1, U)
+        np.cumsum(BYTES[raw] * up[: len(raw)], out=self.sums[1:])
+
+    def __call__(self, starts, size: int) -> np.ndarray:
+        return mix64((self.sums[starts + size] - self.sums[starts]) * self.down[starts])
+
+    def every(self, size: int) -> np.ndarray:
+        n = len(self.sums) - size
+        return mix64((self.sums[size:] - self.sums[:n]) * self.down[:n])
+
+
+SPACES = np.zeros(256, bool)
+SPACES[list(b" \t\n\v\f\r")] = True
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all lower-cased words in order, number of words of each text), without a Python object per word."""
+    raw = np.frombuffer(b" ".join([*(t or b"" for t in texts), b""]).translate(UPPER_TO_LOWER), np.uint8)
+    word = ~SPACES[raw]
+    edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    rolling = Rolling(raw)
+    hashes = mix64((rolling.sums[ends] - rolling.sums[starts]) * rolling.down[starts] + (ends - starts).astype(U))
+    bounds = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
+    return hashes, np.diff(np.searchsorted(starts, bounds))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of the graph reaches.
 
@@ -119,5 +170,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select("v", F.col("v").alias("component")).distinct().toDF("node", "component"))
 
 
-def nonnull(c: str | Column, to: str = "") -> Column:
-    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(to))
+def aside(df: DataFrame, *needed: str) -> DataFrame:
+    """df with every other column under a name of its own, so that none clashes with what an operator adds. `back` undoes it."""
+    seen: set[str] = set()
+    names = []
+    for i, c in enumerate(df.columns):
+        keep = c in needed and c not in seen
+        seen.add(c)
+        names.append(c if keep else f"_aside_{i}")
+    return df.toDF(*names)
+
+
+def back(out: DataFrame, renamed: DataFrame, df: DataFrame) -> DataFrame:
+    """The columns of `renamed` out of `out`, under the names that they have in df."""
+    return out.select(*renamed.columns).toDF(*df.columns)

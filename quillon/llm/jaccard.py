@@ -11,14 +11,16 @@ difference is at most (1 - s) / (1 + s) * (n + m). Documents are dealt into size
 bands (by powers of two; one just above a band's edge joins the band below as
 well), K following the band. By the pigeonhole principle, a document with more
 non-empty blocks than the bound shares a non-empty block with each partner, so
-equal (band, block, word) triples yield all candidates, which are then verified
-on the full sets.
+equal (band, block, word) triples yield all candidates. How many blocks a pair
+must share follows from the same bound; pairs that share fewer go, the rest are
+verified on the full sets.
 
 Hot triples (shared by over `hot` classes: near-copy families, boilerplate) are
 not expanded into pairs. A document that has enough other blocks needs none of
-them. For the rest, each hot triple links its members to one pivot in rounds;
-then what still lies in different components is compared completely. So nothing
-is capped, and components are exact.
+them. For the rest, each hot triple links its members to one pivot. Documents that
+hot triples join but whose components still differ form families; in a family,
+compact bit sketches are compared block by block, and pairs whose Hamming distance
+is within the bound are verified. So nothing is capped, and components are exact.
 
 Equal sets are one class from the start: they travel once per task, and a third of
 all rows being one text costs no more than one text.
@@ -38,11 +40,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import UPPER_TO_LOWER, components, map_batches, materialize, mix64, pieces, table, text_slices, width
+from .common import aside, back, components, map_batches, materialize, mix64, pieces, table, text_slices, width, word_hashes
 
 U = np.uint64
 #: Odd multipliers of a word's place in its shingle.
@@ -50,31 +52,15 @@ PLACE = mix64(np.arange(1, 65, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 PART_ROW = struct.Struct("<II")
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = WordHashes()
-
-
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
-    split = [(t or b"").translate(UPPER_TO_LOWER).split() for t in texts]
-    get = _words.__getitem__
-    out = []
-    w = np.fromiter((get(x) for words in split for x in words), U, sum(map(len, split)))
-    total = len(w)
-    rolled = np.zeros(max(total - size + 1, 0), U)
+    w, counts = word_hashes(texts)
+    rolled = np.zeros(max(len(w) - size + 1, 0), U)
     for j in range(size):
         rolled += w[j : j + len(rolled)] * PLACE[j]
     rolled = mix64(rolled)
-    at = 0
-    for words in split:
-        n = len(words)
+    out, at = [], 0
+    for n in counts.tolist():
         if n >= size:
             out.append(np.unique(rolled[at : at + n - size + 1]))
         elif n:
@@ -127,33 +113,29 @@ def block_words(s: np.ndarray, band: int, n_blocks: int) -> np.ndarray:
     return mix64(word ^ mix64((block[starts] + U(1)) * U(64) + U(band)))
 
 
-def n_blocks_used(s: np.ndarray, n_blocks: int) -> int:
-    return len(np.unique(((mix64(s ^ U(0xD1342543DE82EF95)) >> U(32)) * U(n_blocks)) >> U(32)))
-
-
-def document_classes(documents: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """doc_id, n, k1, k2 (class key), nb (non-empty blocks in each of the document's bands)."""
+def document_classes(documents: DataFrame, size: int) -> DataFrame:
+    """doc_id, n and k1, k2 (class key)."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i, j in pieces(batch.column("text")):
+        for i, j in pieces(batch.column("text"), 1 << 20):
             rows = []
             for s in shingle_sets(list(text_slices(batch.column("text").slice(i, j - i))), size):
-                rows.append((len(s), *class_key(s), [n_blocks_used(s, bands.blocks(b)) for b in bands.of(len(s))]))
-            n, k1, k2, nb = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(nb, pa.list_(pa.int64()))], ["doc_id", "n", "k1", "k2", "nb"])
+                rows.append((len(s), *class_key(s)))
+            n, k1, k2 = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], ["doc_id", "n", "k1", "k2"])
 
-    return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, k1 long, k2 long, nb array<bigint>")
+    return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, k1 long, k2 long")
 
 
-def pack(entries: list[tuple[int, int, int, int]], words: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
-    """(part, blob): an entry is (k1, k2, n, band); its words go to parts by value."""
+def pack(entries: list[tuple[int, int, int, int, int]], words: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, blob): an entry is (k1, k2, n, band, blocks used); its words go to parts by value."""
     counts = np.array([len(x) for x in words])
     value, entry = np.concatenate(words), np.repeat(np.arange(len(words), dtype=np.uint32), counts)
     part = (value % U(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     value, entry, part = value[order], entry[order], part[order]
-    table_ = np.array([(a, b) for a, b, _, _ in entries], np.int64)
-    n = np.array([(x, y) for _, _, x, y in entries], np.uint32)
+    table_ = np.array([e[:2] for e in entries], np.int64)
+    n = np.array([e[2:] for e in entries], np.uint32)
     cuts = np.searchsorted(part, np.arange(parts + 1))
     for p in range(parts):
         lo, hi = cuts[p], cuts[p + 1]
@@ -175,12 +157,12 @@ def pack(entries: list[tuple[int, int, int, int]], words: list[np.ndarray], part
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(class keys, (n, band), words, entry of each word)."""
+    """(class keys, (n, band, blocks used), words, entry of each word)."""
     m, count = PART_ROW.unpack_from(blob)
     at = PART_ROW.size
     keys = np.frombuffer(blob, np.int64, 2 * m, at).reshape(m, 2)
-    n = np.frombuffer(blob, np.uint32, 2 * m, at := at + 16 * m).reshape(m, 2)
-    each = np.frombuffer(blob, np.uint32, m, at := at + 8 * m)
+    n = np.frombuffer(blob, np.uint32, 3 * m, at := at + 16 * m).reshape(m, 3)
+    each = np.frombuffer(blob, np.uint32, m, at := at + 12 * m)
     low = np.frombuffer(blob, np.uint32, count, at := at + 4 * m)
     high = np.frombuffer(blob, np.uint16, count, at + 4 * count)
     return keys, n, low.astype(U) | high.astype(U) << U(32), np.repeat(np.arange(m), each)
@@ -198,7 +180,7 @@ def packed_words(documents: DataFrame, size: int, bands: Bands, parts: int, flus
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary())], ["part", "blob"])
 
         for batch in batches:
-            for i, j in pieces(batch.column("text")):
+            for i, j in pieces(batch.column("text"), 1 << 20):
                 for s in shingle_sets(list(text_slices(batch.column("text").slice(i, j - i))), size):
                     of = bands.of(len(s))
                     if not of:
@@ -211,9 +193,10 @@ def packed_words(documents: DataFrame, size: int, bands: Bands, parts: int, flus
                     met.add(key)
                     for band in of:
                         w = block_words(s, band, bands.blocks(band))
+                        used = len(w)
                         if len(w) <= bands.most(len(s), band):  # too few blocks for the pigeonholes: all such meet
                             w = np.append(w, mix64(np.array([band], U)))
-                        entries.append((*key, len(s), band))
+                        entries.append((*key, len(s), band, used))
                         words.append(w)
                         held += len(w)
                     if held >= flush:
@@ -225,11 +208,11 @@ def packed_words(documents: DataFrame, size: int, bands: Bands, parts: int, flus
     return documents.select("text").mapInArrow(run, "part int, blob binary")
 
 
-FOUND = "kind int, a1 long, a2 long, b1 long, b2 long, triple long, band int"
+FOUND = "kind int, a1 long, a2 long, b1 long, b2 long, triple long, band int, shared long, na long, ua long, nb long, ub long"
 
 
 def match_part(blobs: list[bytes], part: int, hot: int, bands: Bands) -> pa.RecordBatch | None:
-    """Candidate pairs (kind 0), pivot pairs (1) and members of hot triples (2) of one part."""
+    """Pairs and how many triples they share (kind 0), pivot pairs (1) and members of hot triples (2) of one part."""
     keys, n, words, entry, base = [], [], [], [], 0
     for blob in blobs:
         k, m, w, e = unpack(blob)
@@ -268,14 +251,16 @@ def match_part(blobs: list[bytes], part: int, hot: int, bands: Bands) -> pa.Reco
     h_entry = entry[member]
     h_triple = (words[member] << U(16) | U(part & 0xFFFF)).view(np.int64)
     pivot = np.repeat(entry[starts[large]], sizes[large])
-    for kind, p in ((0, np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)), (1, np.column_stack([pivot, h_entry]))):
+    none = np.empty((0, 2), np.int64)
+    for kind, p in ((0, np.concatenate(pairs) if pairs else none), (1, np.column_stack([pivot, h_entry]))):
         p = p[p[:, 0] != p[:, 1]]
         least, most = np.minimum(n[p[:, 0], 0], n[p[:, 1], 0]), np.maximum(n[p[:, 0], 0], n[p[:, 1], 0])
-        p = np.unique(p[least * bands.den >= most * bands.num], axis=0)
-        rows.append((np.full(len(p), kind), keys[p[:, 0]], keys[p[:, 1]], np.zeros(len(p), np.int64), n[p[:, 0], 1]))
-    rows.append((np.full(len(h_entry), 2), keys[h_entry], np.zeros((len(h_entry), 2), np.int64), h_triple, n[h_entry, 1]))
-    kind, a, b, triple, band = (np.concatenate([r[k] for r in rows]) for k in range(5))
-    return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(b[:, 0]), pa.array(b[:, 1]), pa.array(triple), pa.array(band.astype(np.int32))], [x.split()[0] for x in FOUND.split(", ")])
+        code, shared = np.unique((p[:, 0] * len(keys) + p[:, 1])[least * bands.den >= most * bands.num], return_counts=True)
+        rows.append((np.full(len(code), kind), code // len(keys), code % len(keys), np.zeros(len(code), np.int64), shared))
+    rows.append((np.full(len(h_entry), 2), h_entry, h_entry, h_triple, np.zeros(len(h_entry), np.int64)))
+    kind, a, b, triple, shared = (np.concatenate([r[k] for r in rows]) for k in range(5))
+    columns = [kind.astype(np.int32), keys[a, 0], keys[a, 1], keys[b, 0], keys[b, 1], triple, n[a, 1].astype(np.int32), shared, n[a, 0], n[a, 2], n[b, 0], n[b, 2]]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], [x.split()[0] for x in FOUND.split(", ")])
 
 
 def candidates(packed: DataFrame, parts: int, hot: int, bands: Bands) -> DataFrame:
@@ -295,6 +280,83 @@ def candidates(packed: DataFrame, parts: int, hot: int, bands: Bands) -> DataFra
     return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, FOUND)
 
 
+def bit_sketch(s: np.ndarray) -> bytes:
+    """Parity bits, four or more for each element: the Hamming distance of two sketches of one length is at most the sets' symmetric difference."""
+    bits = max(256, 4 << max(len(s), 1).bit_length() - 1)
+    return np.packbits(np.bincount((s % U(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def fold(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches shortened to `words` words: positions are residues, so halves are XORed."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def near_pairs(left: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], right: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (of left, of right) in different components whose sizes fit and whose sketches are within the bound. Entries: (words, sketches, (n, component), row)."""
+    for words_l, a, info_a, row_a in left:
+        for words_r, b, info_b, row_b in right:
+            words = min(words_l, words_r)
+            if max(words_l, words_r) > 2 * words:  # sizes in ratio 2 or more
+                continue
+            x, y = fold(a, words), fold(b, words)
+            step = max(1, (1 << 21) // max(1, len(y) * words))
+            for k in range(0, len(x), step):
+                n, m = info_a[k : k + step, 0][:, None], info_b[:, 0][None]
+                fit = (np.minimum(n, m) * bands.den >= np.maximum(n, m) * bands.num) & (info_a[k : k + step, 1][:, None] != info_b[:, 1][None]) & (row_a[k : k + step][:, None] != row_b[None])
+                if fit.any():
+                    far = np.bitwise_count(x[k : k + step][:, None] ^ y[None]).sum(2, dtype=np.int64)
+                    i, j = np.nonzero(fit & (far <= (bands.den - bands.num) * (n + m) // (bands.den + bands.num)))
+                    yield row_a[k : k + step][i], row_b[j]
+
+
+def family_pairs(members: DataFrame, bands: Bands, block: int = 2048) -> DataFrame:
+    """Candidate pairs across the components of each family, by bit sketches, a block of rows against a block.
+
+    members: k1, k2, n, family, component, sketch. A block is about `block` rows whatever the family's size; a family of many blocks is spread over their pairs.
+    """
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count_distinct("component").alias("c")).where("c > 1").drop("c")
+    dealt = members.join(sizes, "family").withColumn("b", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks").cast("long")).cast("int"))
+    paired = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o"))
+    columns = ["family", "i", "j", "b", "k1", "k2", "n", "component", "sketch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(rows: list[dict], i: int, j: int) -> Iterator[pa.RecordBatch]:
+            keys = np.array([(r["k1"], r["k2"]) for r in rows], np.int64)
+            sides = []
+            for b in (i, j):
+                by: dict[int, list[int]] = {}
+                for k, r in enumerate(rows):
+                    if r["b"] == b:
+                        by.setdefault(len(r["sketch"]) // 8, []).append(k)
+                sides.append([(w, np.array([np.frombuffer(rows[k]["sketch"], U) for k in ks]), np.array([(rows[k]["n"], rows[k]["component"]) for k in ks], np.int64), np.array(ks)) for w, ks in by.items()])
+            for x, y in near_pairs(*sides, bands):
+                if i == j:
+                    half = x < y
+                    x, y = x[half], y[half]
+                a, b = keys[x], keys[y]
+                turn = (a[:, 0] > b[:, 0]) | (a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1])
+                a[turn], b[turn] = b[turn].copy(), a[turn].copy()
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (a[:, 0], a[:, 1], b[:, 0], b[:, 1])], ["a1", "a2", "b1", "b2"])
+
+        held, key = [], None
+        for batch in batches:
+            for r in batch.to_pylist():
+                now = (r["family"], r["i"], r["j"])
+                if now != key and held:
+                    yield from close(held, key[1], key[2])
+                    held = []
+                key = now
+                held.append(r)
+        if held:
+            yield from close(held, key[1], key[2])
+
+    return paired.select(*columns).repartition(width(members.sparkSession), "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+
+
 def similar(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """The pairs (a1, a2, b1, b2) that link, as edges (a, b) of representatives."""
     a = sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("rep").alias("a"), F.col("s").alias("sa"))
@@ -308,22 +370,26 @@ def jaccard_components(documents: DataFrame, size: int = 5, num: int = 75, den:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
     spark = documents.sparkSession
     bands = Bands(num, den)
-    docs = materialize(document_classes(documents, size, bands), "classes")
-    classes = docs.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("nb").alias("nb"))
+    docs = materialize(document_classes(documents, size), "classes")
+    classes = docs.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     parts = max(8, width(spark) // 3)
     found = materialize(candidates(packed_words(documents, size, bands, parts), parts, hot, bands), "found")
 
-    members = found.where("kind = 2").select(F.col("a1").alias("k1"), F.col("a2").alias("k2"), "band", "triple")
-    # a class needs hot triples only where its other non-empty blocks don't exceed the bound
-    n, band = F.col("n"), F.col("band")
-    own = n < F.expr("shiftleft(2L, band)")
-    partner = F.when(own, F.expr(f"n * {den} div {num}")).otherwise(F.expr("shiftleft(2L, band) - 1"))
-    most = F.floor((den - num) * (n + partner) / (den + num))
-    used = F.when(own, F.col("nb")[0]).otherwise(F.col("nb")[1])
-    needy = members.groupBy("k1", "k2", "band").agg(F.count("*").alias("hot")).join(classes, ["k1", "k2"]).where(used - F.col("hot") <= most).select("k1", "k2", "band", "rep", "n")
-    members = materialize(members.join(needy, ["k1", "k2", "band"]), "members")
-
-    pairs = found.where("kind = 0").select("a1", "a2", "b1", "b2").distinct()
+    # A document with u non-empty blocks, h of them hot, shares u - h - bound cold ones with each partner, or more.
+    # Where that is not over 0, its hot triples are needed.
+    bound = lambda n, m: F.floor((den - num) * (n + m) / (den + num))
+    n, band = F.col("na"), F.col("band")
+    partner = F.when(n < F.expr("shiftleft(2L, band)"), F.expr(f"na * {den} div {num}")).otherwise(F.expr("shiftleft(2L, band) - 1"))
+    members = found.where("kind = 2").select(F.col("a1").alias("k1"), F.col("a2").alias("k2"), "band", "triple", "na", "ua")
+    heat = materialize(members.groupBy("k1", "k2", "band").agg(F.count("*").alias("hot"), F.first("na").alias("na"), F.first("ua").alias("ua")), "heat")
+    needy = heat.where(F.col("ua") - F.col("hot") <= bound(n, partner)).join(classes, ["k1", "k2"]).select("k1", "k2", "band", "rep", F.col("na").alias("n"))
+    members = materialize(members.select("k1", "k2", "band", "triple").join(needy, ["k1", "k2", "band"]), "members")
+
+    pairs = found.where("kind = 0").groupBy("a1", "a2", "b1", "b2", "band").agg(F.sum("shared").alias("shared"), *[F.first(c).alias(c) for c in ("na", "ua", "nb", "ub")])
+    warm = heat.select("k1", "k2", "band", "hot")
+    pairs = pairs.join(warm.toDF("a1", "a2", "band", "ha"), ["a1", "a2", "band"], "left").join(warm.toDF("b1", "b2", "band", "hb"), ["b1", "b2", "band"], "left")
+    cold = F.greatest(F.col("ua") - F.coalesce("ha", F.lit(0)), F.col("ub") - F.coalesce("hb", F.lit(0)))
+    pairs = pairs.where(F.col("shared") >= cold - bound(F.col("na"), F.col("nb"))).select("a1", "a2", "b1", "b2")
     pivots = found.where("kind = 1").select("a1", "a2", "b1", "b2").distinct()
     needed = members.select(F.col("k1").alias("b1"), F.col("k2").alias("b2")).distinct()
     pivots = pivots.join(needed, ["b1", "b2"], "left_semi").select("a1", "a2", "b1", "b2")
@@ -331,49 +397,32 @@ def jaccard_components(documents: DataFrame, size: int = 5, num: int = 75, den:
 
     keys = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(pairs.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).unionByName(members.select("k1", "k2")).distinct()
     reps = keys.join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
-    chosen = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep")
+    chosen = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep").dropDuplicates(["rep", "text"])
 
     def expand(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i, j in pieces(batch.column("text")):
+        for i, j in pieces(batch.column("text"), 1 << 20):
             some = batch.slice(i, j - i)
             sets = shingle_sets(list(text_slices(some.column("text"))), size)
             want = zip(some.column("k1").to_pylist(), some.column("k2").to_pylist(), strict=True)
             mine = [k for k, (s, w) in enumerate(zip(sets, want, strict=True)) if class_key(s) == w]  # an id may have other rows
-            yield pa.RecordBatch.from_arrays([some.column(c).take(pa.array(mine, pa.int64())) for c in ("k1", "k2", "rep")] + [pa.array([sets[k].view(np.int64) for k in mine], pa.list_(pa.int64()))], ["k1", "k2", "rep", "s"])
+            yield pa.RecordBatch.from_arrays([some.column(c).take(pa.array(mine, pa.int64())) for c in ("k1", "k2", "rep")] + [pa.array([sets[k].view(np.int64) for k in mine], pa.list_(pa.int64())), pa.array([bit_sketch(sets[k]) for k in mine], pa.binary())], ["k1", "k2", "rep", "s", "sketch"])
 
-    sets = materialize(map_batches(chosen.select("k1", "k2", "rep", "text"), expand, "k1 long, k2 long, rep long, s array<bigint>").dropDuplicates(["k1", "k2"]), "sets")
+    sets = materialize(map_batches(chosen.select("k1", "k2", "rep", "text"), expand, "k1 long, k2 long, rep long, s array<bigint>, sketch binary"), "sets")
     edges = materialize(similar(pairs, sets, bands), "links")
     reach = components(edges)
 
-    for turn in range(1, 20):
-        # members of hot triples that lie in more than one component
-        lying = members.join(reach, members.rep == reach.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-        split = lying.groupBy("triple", "component").agg(F.count("*").alias("c")).groupBy("triple").agg(F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("parts")).where("parts > 1").select("triple", "g", "within")
-        state = split.agg(F.sum((F.col("g") * F.col("g") - F.col("within")) / 2).alias("open"), F.sum("g").alias("rows")).first()
-        if not state.open:
-            break
-        lying = lying.join(split.select("triple"), "triple")
-        complete = state.open <= max(20_000, 2 * state.rows) or turn > 8
-        if complete:
-            x, y = lying, lying
-            x = x.select("triple", F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("component").alias("ca"), F.col("n").alias("na"))
-        else:
-            pivot = lying.groupBy("triple").agg(F.min_by(F.struct("k1", "k2", "component", "n"), F.xxhash64(F.lit(turn), "k1", "k2", "component")).alias("p"))
-            x = pivot.select("triple", F.col("p.k1").alias("a1"), F.col("p.k2").alias("a2"), F.col("p.component").alias("ca"), F.col("p.n").alias("na"))
-            y = lying
-        y = y.select("triple", F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-        fit = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
-        apart = (F.col("ca") < F.col("cb")) if complete else (F.col("ca") != F.col("cb"))
-        more = x.join(y, "triple").where(apart & fit).select("a1", "a2", "b1", "b2").distinct()
-        links = materialize(similar(more, sets, bands), "links")
-        if links.isEmpty():
-            if complete:
-                break
-            continue
-        edges = edges.unionByName(links)
-        reach = components(edges)
-        if complete:
-            break
+    # members of hot triples that lie in more than one component
+    lying = members.join(reach, members.rep == reach.node, "left").withColumn("component", F.coalesce("component", "rep"))
+    split = lying.groupBy("triple").agg(F.min("rep").alias("first"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("triple", "first")
+    open_ = materialize(members.join(split, "triple").select("first", "rep").distinct(), "open")
+    if not open_.isEmpty():
+        families = components(open_, "first", "rep")
+        one = members.select("k1", "k2", "rep", "n").distinct().join(families, F.col("rep") == F.col("node")).withColumnRenamed("component", "family").drop("node")
+        one = one.join(reach, F.col("rep") == F.col("node"), "left").select("k1", "k2", "rep", "n", "family", F.coalesce("component", "rep").alias("component"))
+        more = family_pairs(one.join(sets.select("k1", "k2", "sketch"), ["k1", "k2"]), bands)
+        links = materialize(similar(more.distinct(), sets, bands), "links")
+        if not links.isEmpty():
+            reach = components(edges.unionByName(links))
 
     out = docs.join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left").join(reach, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -384,16 +433,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents that are the first of their component; of repeated rows with its id, one; documents without words stay."""
-    found = jaccard_components(documents).where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    firsts = documents.join(found, "doc_id", "left_anti")
-    return firsts.withColumn("q_row", F.row_number().over(_by_id())).where("q_row = 1 or doc_id is null").drop("q_row").select(*[f"`{c}`" for c in documents.columns])
-
-
-def _by_id():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("doc_id").orderBy("text")
+    """The documents that are the first of their component; of equal rows, one; documents without words stay."""
+    safe = aside(documents, "doc_id", "text")
+    found = jaccard_components(safe).where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
+    equal = W.partitionBy("doc_id", "text").orderBy("text")
+    firsts = safe.join(found, "doc_id", "left_anti").withColumn("q_row", F.row_number().over(equal)).where("q_row = 1 or doc_id is null or text is null")
+    return back(firsts, safe, documents)
 
 
 OP3_SQL = r"""

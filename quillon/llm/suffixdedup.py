@@ -36,45 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, mix64, table, text_slices, width
+from .common import Rolling, map_batches, materialize, mix64, table, text_slices, width
 
 U = np.uint64
 GRAM, CHUNK, SYMBOLS = 24, 128, 4
-BASE = U(0x9E3779B97F4A7C15)
-INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-BYTES = mix64(np.arange(1, 257, dtype=U) * BASE)
 STRINGS = 400_000  #: strings merged at a time
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n, grown as needed."""
-    have = _powers.__dict__.setdefault("table", (np.ones(1, U), np.ones(1, U)))
-    if len(have[0]) < n:
-        size = max(n, 1 << 17)
-        up, down = np.full(size, BASE, U), np.full(size, INVERSE, U)
-        up[0] = down[0] = 1
-        have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size <= 1 << 22:
-            _powers.table = have
-    return have
-
-
-class Rolling:
-    """64-bit hashes of any substring of a text."""
-
-    def __init__(self, raw: np.ndarray):
-        up, self.down = _powers(len(raw) + 1)
-        self.sums = np.zeros(len(raw) + 1, U)
-        np.cumsum(BYTES[raw] * up[: len(raw)], out=self.sums[1:])
-
-    def __call__(self, starts, size: int) -> np.ndarray:
-        return mix64((self.sums[starts + size] - self.sums[starts]) * self.down[starts])
-
-    def every(self, size: int) -> np.ndarray:
-        n = len(self.sums) - size
-        return mix64((self.sums[size:] - self.sums[:n]) * self.down[:n])
-
-
 def chunks(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """(key, first start, last start, offset of the first start from its anchor) of each chunk of a text."""
     n = len(raw)
