@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, pieces, text_slices
+from .common import aside, back, map_batches, pieces, table, text_slices
 
 #: Lower-cases A-Z and turns every other ASCII byte that is no digit or letter into a space.
 WORD_BYTES = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -100,6 +100,8 @@ def lower_bound(array: np.ndarray, keys: np.ndarray, after: bool = False) -> np.
 
 def chains(found: np.ndarray, where: np.ndarray, test: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Longest matches: (test suffix, position, words) from windows that follow each other in item and shard."""
+    if not len(found):
+        return found, where, where
     order = np.lexsort((where, where - test.start[found], test.item[found]))
     found, where = found[order], where[order]
     item, diagonal = test.item[found], where - test.start[found]
@@ -200,12 +202,11 @@ def judge(documents: DataFrame, benchmark: DataFrame, window: int = 8, block_byt
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 1) -> DataFrame:
     """The documents in which fewer than `min_items` test items have a window, with their own columns."""
-    return judge(documents, benchmark, window, keep_columns=True).where(F.col("q_n_items") < min_items).select(*[f"`{c}`" for c in documents.columns])
+    safe = aside(documents, "doc_id", "text")
+    return back(judge(safe, benchmark, window, keep_columns=True).where(F.col("q_n_items") < min_items), safe, documents)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     found = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.col("q_n_words").alias("n_words"), F.col("q_n_hit").alias("n_hit"), F.col("q_n_items").alias("n_items"), F.col("q_items_sha256").alias("items_sha256"), (F.col("q_n_items") >= 2).alias("contaminated"))
 

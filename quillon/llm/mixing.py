@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import aside, back, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -141,6 +141,7 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 def mixed_documents(documents: DataFrame, **how) -> DataFrame:
     """The mix as documents: each is there floor(taken / size + 1/2) times (a document that is taken to less than half goes)."""
-    names = [f"`{c}`" for c in documents.columns]
+    safe = aside(documents, "doc_id", "source", "text")
     times = F.floor(F.col("q_taken") / F.col("q_size") + 0.5).cast("int")
-    return mix(documents, **how).where("q_size > 0").withColumn("q_times", times).where("q_times > 0").withColumn("q_copy", F.explode(F.sequence(F.lit(1), F.col("q_times")))).select(*names)
+    taken = mix(safe, **how).where("q_size > 0").withColumn("q_times", times).where("q_times > 0")
+    return back(taken.withColumn("q_copy", F.explode(F.sequence(F.lit(1), F.col("q_times")))), safe, documents)

@@ -4,8 +4,8 @@ Overlapping heuristic labellers vote junk, good or nothing on every document. Ov
 all documents' vote patterns (at most 3**labellers rows, counted by one
 aggregate), expectation-maximisation estimates each labeller's accuracy and
 the class balance - no true label is read. Each pattern's
-posterior then labels a sample of at most about `fit_rows` documents (a hash
-threshold on doc_id, the documented bound of the fit), on which a linear scorer
+posterior then labels a sample of at most about `fit_rows` distinct documents (a
+hash threshold, the documented bound of the fit), on which a linear scorer
 over hashed byte pairs is fitted; the scorer judges every document.
 
 Scale: two passes over the text, no shuffle but the pattern counts; the driver
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, text_slices
+from .common import aside, back, map_batches, table, text_slices
 
 SIZE = 1 << 11  #: slot 0 is kept for repeats
 #: Byte pair -> feature, by a multiplicative hash.
@@ -56,7 +56,8 @@ def votes(text: bytes | None) -> tuple[int, ...]:
     symbols = 1 - count[PLAIN].sum() / count.sum()
     capitals = count[UPPER].sum() / letters
     bars, shouts = count[124] / n, count[33] / n
-    repeats = sum(map(eq, words, words[1:])) / n
+    again = sum(map(eq, words, words[1:]))
+    repeats = again / n if again > 2 else 0.0  # a doubled word is no sign in a short text
     kinds = len(set(words)) / n**0.5
     stops = sum(w.endswith((b".", b"?")) for w in words) / n
     calm = capitals < 0.15 and shouts < 0.02
@@ -148,8 +149,8 @@ def model(documents: DataFrame, fit_rows: int = 4096) -> tuple[np.ndarray, dict[
 
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if part < 1:
-        chosen = chosen.where(F.xxhash64(F.lit(29), "doc_id") < F.lit(int(-(1 << 63) + part * (1 << 64))))
-    rows = sorted(map_batches(chosen.where("length(text) > 0"), look, "doc_id long, good double, x binary").collect(), key=lambda r: (r.doc_id, r.x))
+        chosen = chosen.where(F.xxhash64(F.lit(29), "doc_id", "text") < F.lit(int(-(1 << 63) + part * (1 << 64))))
+    rows = sorted(map_batches(chosen.where("length(text) > 0").dropDuplicates(["doc_id", "text"]), look, "doc_id long, good double, x binary").collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.x))
     x = np.array([np.frombuffer(r.x, "<f4") for r in rows], float).reshape(len(rows), SIZE)
     weights = fit(x, np.array([r.good for r in rows]))
     return weights, posterior, {"share": share, "accuracy": dict(zip(LABELLERS, accuracy.tolist(), strict=True))}
@@ -179,4 +180,6 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept(documents: DataFrame) -> DataFrame:
-    return classify(documents).where("q_keep").select(*[f"`{c}`" for c in documents.columns])
+    """The documents that the scorer keeps, with their own columns."""
+    safe = aside(documents, "doc_id", "text")
+    return back(classify(safe).where("q_keep"), safe, documents)
