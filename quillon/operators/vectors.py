@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, dot, euclidean
 
-DISTANCES = {"cosine": cosine, "dot": dot, "euclidean": lambda a, b: -euclidean(a, b)}
+DISTANCES = {"cosine": cosine, "dot": dot, "euclidean": lambda a, b: F.lit(0.0) - euclidean(a, b)}
 
 
 def literal_vector(values: list[float]) -> Column:

@@ -174,7 +174,7 @@ def dot_topk(m: Model) -> DataFrame:
     return V.vector_topk(m.vectors(), _query_vector(m), 10, "dot")
 
 
-@query(ctes("vectors") + f" select id, entity_id, round(-list_distance(vec, {QV}), 6) score from vectors order by score desc, id limit 10")
+@query(ctes("vectors") + f" select id, entity_id, round(0 - list_distance(vec, {QV}), 6) score from vectors order by score desc, id limit 10")
 def euclid_topk(m: Model) -> DataFrame:
     return V.vector_topk(m.vectors(), _query_vector(m), 10, "euclidean")
 
