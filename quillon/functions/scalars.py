@@ -102,3 +102,24 @@ def semver_key(version: Column) -> Column:
     """A sortable array of major, minor, patch; null for other strings."""
     parts = F.split(version, r"\.")
     return F.when(version.rlike(r"\A(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\z"), F.transform(parts, lambda p: p.try_cast("int")))
+
+
+def resolve_pointer(json: Column, pointer: str) -> Column:
+    """The string leaf at an RFC 6901 pointer of a JSON text, else null."""
+    path = "$"
+    for token in pointer.split("/")[1:]:
+        name = token.replace("~1", "/").replace("~0", "~")
+        path += f"[{int(name)}]" if name.isdigit() else "['" + name.replace("'", "\\'") + "']"
+    leaf = F.try_variant_get(F.try_parse_json(json), F.lit(path), "variant")
+    return F.when(F.schema_of_variant(leaf) == "STRING", F.try_variant_get(F.try_parse_json(json), F.lit(path), "string"))
+
+
+def render_markdown(sections: Column) -> Column:
+    """Sections (heading, assertions of text and ref_ids) as Markdown: a heading, then an item for each assertion with its markers; an empty line between sections."""
+    item = lambda a: F.concat(F.lit("- "), a["text"], F.array_join(F.transform(a["ref_ids"], lambda r: F.concat(F.lit("[[ref:"), r, F.lit("]]"))), ""), F.lit("\n"))
+    return F.array_join(F.transform(sections, lambda s: F.concat(F.lit("## "), s["heading"], F.lit("\n\n"), F.array_join(F.transform(s["assertions"], item), ""))), "\n")
+
+
+def page_text(title: Column, content: Column) -> Column:
+    """What of a page is embedded."""
+    return F.concat_ws("\n", title, content)

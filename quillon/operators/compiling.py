@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import backoff_seconds, framed_hash, ink, reference_id_valid, semver_key
+from ..functions.scalars import backoff_seconds, framed_hash, ink, reference_id_valid, reference_markers, render_markdown, semver_key
 
 # Default thresholds of the gate, and the limits of a run.
 GATE = {"overall": 0.75, "coverage": 0.60, "density": 0.40}
@@ -204,3 +204,58 @@ def violations(artifacts: DataFrame, ranges: dict[str, Range], allowed: list[str
         rows.append(F.struct(F.lit(name).alias("component"), F.when(F.col(name).isNull(), "missing").when(key.isNull(), "invalid").when(out, "range").alias("code")))
     rows.append(F.struct(F.lit("artifact").alias("component"), F.when(~F.coalesce(F.col("artifact").isin(*allowed), F.lit(False)), "not_allowed").alias("code")))
     return artifacts.select("artifact_id", F.explode(F.filter(F.array(*rows), lambda x: x["code"].isNotNull())).alias("v")).select("artifact_id", "v.*")
+
+
+def mock_evidence(entities: DataFrame, fields: list[str]) -> DataFrame:
+    """Deterministic evidence: a section per string leaf, one assertion that quotes it whole.
+
+    entity_id, sections: array of (heading, assertions: array of (text, ref_ids), refs: array of (id, pointer, value, quote)), markdown.
+    """
+    units = coverable_units(entities, fields)
+    w = W.partitionBy("entity_id").orderBy("pointer")
+    numbered = units.withColumn("k", F.row_number().over(w)).withColumn("ref", F.concat(F.lit("r"), F.col("k").cast("string")))
+    section = F.struct(
+        F.col("k"),
+        F.col("pointer").alias("heading"),
+        F.array(F.struct(F.col("value").alias("text"), F.array("ref").alias("ref_ids"))).alias("assertions"),
+        F.array(F.struct(F.col("ref").alias("id"), "pointer", "value", F.col("value").alias("quote"))).alias("refs"),
+    )
+    whole = numbered.groupBy("entity_id").agg(F.array_sort(F.collect_list(section)).alias("sections"))
+    return whole.withColumn("markdown", render_markdown(F.col("sections")))
+
+
+def check_markdown(pages: DataFrame) -> DataFrame:
+    """pages (entity_id, sections, markdown) with their marker counts and MARKDOWN_MISMATCH or UNUSED_REF issues.
+
+    The markers must be the assertions' references in order and the text the canonical rendering; a reference that no assertion of its section names is unused.
+    """
+    named = F.flatten(F.flatten(F.transform("sections", lambda s: F.transform(s["assertions"], lambda a: a["ref_ids"]))))
+    unused = F.flatten(F.transform("sections", lambda s: F.array_except(F.transform(s["refs"], lambda r: r["id"]), F.flatten(F.transform(s["assertions"], lambda a: a["ref_ids"])))))
+    markers = reference_markers(F.col("markdown"))
+    issues = F.array_compact(F.array(F.when((markers != named) | (F.col("markdown") != render_markdown(F.col("sections"))), F.lit("MARKDOWN_MISMATCH")), F.when(F.size(unused) > 0, F.lit("UNUSED_REF"))))
+    return pages.select("entity_id", F.size(markers).alias("n_markers"), F.size(named).alias("n_named"), issues.alias("issues"))
+
+
+def publish(current: DataFrame, compiled: DataFrame, tasks: DataFrame, heads: DataFrame, now: int) -> DataFrame:
+    """Pages after a run: a compiled page (entity_id, token, source_hash, content) replaces the current one, a generation on, where its task is still fenced.
+
+    Fenced: running, the same token, the lease not over, the head still the compiled source. current: entity_id, content, generation.
+    """
+    fence = tasks.where((F.col("status") == "running") & (F.col("lease_until") >= now)).select("entity_id", "token")
+    good = compiled.join(fence, ["entity_id", "token"], "left_semi").join(heads.select("entity_id", F.col("head_hash").alias("source_hash")), ["entity_id", "source_hash"], "left_semi")
+    before = current.select("entity_id", F.col("generation").alias("before"))
+    new = good.join(before, "entity_id", "left").select("entity_id", "content", (F.coalesce("before", F.lit(0)) + 1).cast("long").alias("generation"))
+    return current.select("entity_id", "content", F.col("generation").cast("long").alias("generation")).join(new, "entity_id", "left_anti").unionByName(new)
+
+
+def heartbeat(tasks: DataFrame, beats: DataFrame, now: int) -> DataFrame:
+    """Tasks after heartbeats (task_id, token, epoch): a lease is extended only if its token and epoch are live."""
+    live = beats.select("task_id", "token", "epoch", F.lit(True).alias("beat")).distinct()
+    extend = F.coalesce("beat", F.lit(False)) & (F.col("status") == "running") & (F.col("lease_until") >= now)
+    return tasks.join(live, ["task_id", "token", "epoch"], "left").withColumn("lease_until", F.when(extend, F.lit(now + LEASE_SECONDS)).otherwise(F.col("lease_until"))).drop("beat")
+
+
+def run_stats(outcomes: DataFrame) -> DataFrame:
+    """One row: a count per outcome."""
+    names = ("accepted", "quarantined", "failed", "skipped", "superseded", "rejected", "queued")
+    return outcomes.agg(*[F.count(F.when(F.col("outcome") == n, 1)).alias(n) for n in names], F.count("*").alias("total"))

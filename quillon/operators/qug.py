@@ -69,3 +69,38 @@ def paths(edges: DataFrame, start: DataFrame, depth: int = DEPTH) -> DataFrame:
         now = now.join(step, F.element_at("nodes", -1) == F.col("src")).where(~F.array_contains("nodes", F.col("dst"))).select(F.concat("nodes", F.array("dst")).alias("nodes"))
         out = now if out is None else out.unionByName(now)
     return out
+
+
+def snapshot_problems(pages: DataFrame, edges: DataFrame, most: int = 100_000) -> DataFrame:
+    """problem, n of a graph's source: empty ids, generations under 1, repeated pages, too many rows."""
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n")
+    parts = [
+        count(pages.where("page_id is null or trim(cast(page_id as string)) = ''"), "empty_id"),
+        count(pages.where("generation < 1 or generation is null"), "generation"),
+        count(pages.groupBy("page_id").agg(F.count("*").alias("c")).where("c > 1"), "repeated_page"),
+        pages.agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.lit("too_many_pages").alias("problem"), "n"),
+        edges.agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.lit("too_many_edges").alias("problem"), "n"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("n > 0")
+
+
+def rewrite_with_intents(query: str, edges: DataFrame, intents: list, conditions: list) -> dict:
+    """One query's terms, merged conditions and status; intents whose phrase is among its longest matches add their text and conditions."""
+    from .filters import merge
+
+    spark = edges.sparkSession
+    loops = [(p, i) for i in intents for p in i.phrases]
+    phrases = spark.createDataFrame([(p, p, "intent", i.id) for p, i in loops], "src string, dst string, kind string, edge_hash string")
+    phrases = phrases.select(normalize(F.col("src")).alias("src"), normalize(F.col("dst")).alias("dst"), "kind", "edge_hash").where("src is not null")
+    graph = edges.select("src", "dst", "kind", "edge_hash").unionByName(phrases)
+    one = spark.createDataFrame([(0, query)], "query_id long, query_text string")
+    matched = {r.phrase for r in longest_matches(one, graph).collect()}
+    row = rewrite(one, graph).first()
+    low = lambda x: " ".join(x.split()).lower()
+    hit = list({i.id: i for p, i in loops if low(p) in matched}.values())
+    terms = list(dict.fromkeys([*row.terms, *(low(i.text) for i in hit if i.text)]))[:TERMS]
+    merged = merge([*conditions, *(c for i in hit for c in i.conditions)])
+    return {"terms": terms, "conditions": merged, "status": "applied" if hit or len(terms) > 1 else "fallback"}

@@ -674,6 +674,134 @@ def json_extraction(m: Model) -> DataFrame:
     return m.table("events").select("event_id", k.alias("k")).where("k > 50")
 
 
+# --- sinks, packs and the rest of the compile pipeline -----------------------
+
+
+@query(ctes("pages") + """, new as (select page_id + 1 page_id, 'new ' || title title from pages where page_id % 3 = 0)
+ select page_id, title from pages where page_id not in (select page_id from new) union all select page_id, title from new""")
+def page_upsert(m: Model) -> DataFrame:
+    pages = m.pages().select("page_id", "title")
+    new = pages.where("page_id % 3 = 0").select((F.col("page_id") + 1).alias("page_id"), F.concat(F.lit("new "), "title").alias("title"))
+    return M.upsert(pages, new, ["page_id"])
+
+
+@query(ctes("facts") + " select entity_id, field_name from facts where entity_id not in (select 'shop:part:' || cast(p_partkey as varchar) from part where p_size > 40)")
+def fact_delete(m: Model) -> DataFrame:
+    gone = m.facts().where("field_name = 'p_size' and value_numeric > 40").select("entity_id")
+    return M.delete(m.facts(), gone, ["entity_id"]).select("entity_id", "field_name")
+
+
+@query(ctes("logs") + ", old as (select distinct domain, hit_count from logs where log_id % 2 = 0 and hit_count = 1) select distinct domain, 'query_template' action, hit_count subject from logs where not exists (select 1 from old where old.domain = logs.domain and old.hit_count = logs.hit_count)")
+def review_suggestion_upsert(m: Model) -> DataFrame:
+    logs = m.logs()
+    rows = lambda df: df.select("domain", F.lit("query_template").alias("action"), F.col("hit_count").alias("subject"))
+    return M.append_new(rows(logs.where("log_id % 2 = 0 and hit_count = 1")), rows(logs), ["domain", "action", "subject"], [F.asc("subject")])
+
+
+@query(ctes("feedback") + " select domain, kind, count(*) n from feedback group by domain, kind")
+def counters_by_label(m: Model) -> DataFrame:
+    return m.feedback().groupBy("domain", "kind").agg(F.count("*").alias("n"))
+
+
+@query(ctes("pages") + " select page_id, cast(length(title) + 1 + length(content) as integer) n_chars from pages where status = 'accepted'")
+def page_embedding_text(m: Model) -> DataFrame:
+    return m.pages().where("status = 'accepted'").select("page_id", F.length(S.page_text(F.col("title"), F.col("content"))).alias("n_chars"))
+
+
+@query("select p_partkey id, 1.0::double length from part where p_partkey < 200")
+def deterministic_embedding(m: Model) -> DataFrame:
+    """Hashed embeddings are unit vectors."""
+    vec = S.hashed_embedding(F.col("p_name"), 16)
+    return m.table("part").where("p_partkey < 200").select(F.col("p_partkey").alias("id"), vec.alias("v")).select("id", F.round(S.norm(F.col("v")), 9).alias("length"))
+
+
+@query(ctes("pages") + " select page_id, title from pages where status = 'accepted' and (contains(lower(title), 'the') or contains(lower(content), 'the')) and domain = 'en' order by page_id limit 25")
+def legacy_search(m: Model) -> DataFrame:
+    """One term, one domain, in page order."""
+    return m.pages().where("status = 'accepted' and domain = 'en'").where(L.contains_term("the")).select("page_id", "title").orderBy("page_id").limit(25)
+
+
+@query("select page_id, url \"value\" from pages")
+def pointer_resolution(m: Model) -> DataFrame:
+    doc = F.to_json(F.struct(F.struct(F.array(F.lit("x"), F.col("url")).alias("a/b")).alias("fields")))
+    return m.table("pages").select("page_id", S.resolve_pointer(doc, "/fields/a~1b/1").alias("value"))
+
+
+MOCK = f"{UNITS}, nm as (select *, row_number() over (partition by entity_id order by pointer) k from units)"
+
+
+@query(f"with {MOCK} select entity_id, string_agg('## ' || pointer || chr(10) || chr(10) || '- ' || val || '[[ref:r' || cast(k as varchar) || ']]' || chr(10), chr(10) order by k) markdown from nm group by entity_id")
+def mock_compile(m: Model) -> DataFrame:
+    return C.mock_evidence(_sources(m), ["name", "type", "words"]).select("entity_id", "markdown")
+
+
+@query("""select 'shop:part:' || cast(p_partkey as varchar) entity_id, case p_partkey % 3 when 0 then '' when 1 then 'MARKDOWN_MISMATCH' else 'MARKDOWN_MISMATCH,UNUSED_REF' end issues from part""")
+def markdown_validation(m: Model) -> DataFrame:
+    """Pages as rendered, with another text, and with a dropped reference."""
+    k = F.substring_index("entity_id", ":", -1).cast("long") % 3
+    pages = C.mock_evidence(_sources(m), ["name", "type", "words"])
+    bare = F.transform("sections", lambda s: F.struct(s["k"].alias("k"), s["heading"].alias("heading"), F.transform(s["assertions"], lambda a: F.struct(a["text"].alias("text"), F.array().cast("array<string>").alias("ref_ids"))).alias("assertions"), s["refs"].alias("refs")))
+    pages = pages.withColumn("markdown", F.when(k == 1, F.concat("markdown", F.lit("more"))).otherwise(F.col("markdown"))).withColumn("sections", F.when(k == 2, bare).otherwise(F.col("sections")))
+    return C.check_markdown(pages).select("entity_id", F.array_join("issues", ",").alias("issues"))
+
+
+@query("""with p as (select p_partkey k, p_partkey % 2 = 0 has, p_partkey % 3 = 0 live, p_partkey % 5 <> 0 head from part)
+ select 'e' || cast(k as varchar) entity_id, case when live and head then 'new' else 'old' end "content", cast(case when live and head then case when has then 4 else 1 end else 3 end as bigint) generation from p where has or (live and head)""")
+def publish_pages(m: Model) -> DataFrame:
+    k = F.col("p_partkey")
+    base = m.table("part").select(k, F.concat(F.lit("e"), k.cast("string")).alias("entity_id"))
+    current = base.where(k % 2 == 0).select("entity_id", F.lit("old").alias("content"), F.lit(3).alias("generation"))
+    compiled = base.select("entity_id", F.lit("t").alias("token"), F.lit("h").alias("source_hash"), F.lit("new").alias("content"))
+    tasks = base.select("entity_id", F.lit("running").alias("status"), F.lit("t").alias("token"), F.when(k % 3 == 0, 100).otherwise(50).alias("lease_until"))
+    heads = base.select("entity_id", F.when(k % 5 != 0, "h").otherwise("g").alias("head_hash"))
+    return C.publish(current, compiled, tasks, heads, 80)
+
+
+@query("select o_orderkey task_id, case when o_orderkey % 3 = 0 and o_orderkey % 200 >= 100 then 400 else o_orderkey % 200 end lease_until from orders where o_orderkey < 600")
+def lease_heartbeat(m: Model) -> DataFrame:
+    k = F.col("o_orderkey")
+    tasks = m.table("orders").where("o_orderkey < 600").select(k.alias("task_id"), F.lit("running").alias("status"), F.lit("t").alias("token"), F.lit(1).alias("epoch"), (k % 200).alias("lease_until"))
+    beats = tasks.where("task_id % 3 <> 1").select("task_id", F.when(F.col("task_id") % 3 == 0, "t").otherwise("stale").alias("token"), "epoch")
+    return C.heartbeat(tasks, beats, 100).select("task_id", "lease_until")
+
+
+@query("select count(*) filter (o_orderkey % 4 = 0) accepted, count(*) filter (o_orderkey % 4 = 1) quarantined, count(*) filter (o_orderkey % 4 = 2) failed, count(*) filter (o_orderkey % 4 = 3) skipped, 0::bigint superseded, 0::bigint rejected, 0::bigint queued, count(*) total from orders")
+def compile_stats(m: Model) -> DataFrame:
+    outcome = F.element_at(F.array(*map(F.lit, ("accepted", "quarantined", "failed", "skipped"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return C.run_stats(m.table("orders").select(outcome.alias("outcome")))
+
+
+@query(ctes("pages") + " select 'generation' problem, count(*) n from pages where generation - 2 < 1 having count(*) > 0 union all select 'repeated_page', count(*) from (select page_id % 900 p from pages group by 1 having count(*) > 1) having count(*) > 0")
+def snapshot_problems(m: Model) -> DataFrame:
+    pages = m.pages().select((F.col("page_id") % 900).alias("page_id"), (F.col("generation") - 2).alias("generation"))
+    return Q.snapshot_problems(pages, m.spark.createDataFrame([], "src string"))
+
+
+@query(f"with {SYN}, {HYP} select count(*) n_edges, 1::bigint generation, 'reused' again from (select distinct src, dst, kind from syn union all select distinct src, dst, kind from hyp)")
+def graph_publish(m: Model) -> DataFrame:
+    """Publish a build, load it back; publishing it again changes nothing."""
+    import tempfile
+    import uuid
+
+    from ..sources.sinks import PublishedTable
+
+    base = m.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillon-graph-')}"
+    table = PublishedTable(m.spark, f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}")
+    edges = Q.build(Q.page_edges(_graph_pages(m)))
+    table.publish(edges)
+    generation, live = table.current()
+    again = table.publish(edges)[1]
+    return live.agg(F.count("*").alias("n_edges")).select("n_edges", F.lit(generation).cast("long").alias("generation"), F.lit(again).alias("again"))
+
+
+@query(ctes("pages") + " select count(*) n, sum(page_id)::bigint ids from pages where status = 'accepted'")
+def search_export(m: Model) -> DataFrame:
+    from ..sources.sinks import search_documents
+
+    ids = F.get_json_object("value", "$.page_id").cast("long")
+    return search_documents(m.pages()).agg(F.count("*").alias("n"), F.sum(ids).alias("ids"))
+
+
 # --- streaming ---------------------------------------------------------------
 
 
@@ -700,3 +828,11 @@ def stream_log_window(m: Model) -> DataFrame:
 def rate_limit_window(m: Model) -> DataFrame:
     events = _stream(m).table("events").select("ts", F.col("user_id").alias("key"))
     return ST.drain(ST.rate_windows(events, 2, "1 hour"), "complete").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(None)
+def stream_lease_timers(m: Model) -> DataFrame:
+    """Leases over the event stream: views claim, clicks beat, purchases end."""
+    kind = F.when(F.col("event_type") == "view", "claim").when(F.col("event_type") == "click", "beat").when(F.col("event_type") == "purchase", "done")
+    events = _stream(m).table("events").select(F.col("user_id").alias("task_id"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts")).where("kind is not null")
+    return ST.drain(ST.lease_timers(events, 86400))

@@ -54,3 +54,46 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(schema).parquet(f"{path}/out/*")
+
+
+LEASE = "task_id long, outcome string, at double"
+
+
+def lease_timers(events: DataFrame, seconds: int = 300) -> DataFrame:
+    """task_id, outcome, at: leases as a stream. events: task_id, kind (claim, beat, done), ts in order of arrival.
+
+    A claim opens a lease, a beat extends it, done closes it; one that passes its
+    end in event time, by the watermark, expires. State is one number per task.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        if state.hasTimedOut:
+            out.append((key[0], "expired", state.get[0]))
+            state.remove()
+        else:
+            until = state.get[0] if state.exists else None
+            for frame in frames:
+                for kind, ts in frame.sort_values("ts")[["kind", "ts"]].itertuples(index=False):
+                    at = ts.timestamp()
+                    if until is not None and at > until:
+                        out.append((key[0], "expired", until))
+                        until = None
+                    if kind == "claim" or kind == "beat" and until is not None:
+                        until = at + seconds
+                    elif kind == "done" and until is not None:
+                        out.append((key[0], "done", at))
+                        until = None
+            if until is None:
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((until,))
+                state.setTimeoutTimestamp(max(int(until * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["task_id", "outcome", "at"])
+
+    return events.withWatermark("ts", "0 seconds").groupBy("task_id").applyInPandasWithState(step, LEASE, "until double", "append", GroupStateTimeout.EventTimeTimeout)
