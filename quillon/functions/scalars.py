@@ -109,7 +109,8 @@ def resolve_pointer(json: Column, pointer: str) -> Column:
     path = "$"
     for token in pointer.split("/")[1:]:
         name = token.replace("~1", "/").replace("~0", "~")
-        path += f"[{int(name)}]" if name.isdigit() else "['" + name.replace("'", "\\'") + "']"
+        quote = '"' if "'" in name else "'"
+        path += f"[{int(name)}]" if name.isdigit() else f"[{quote}{name}{quote}]"
     leaf = F.try_variant_get(F.try_parse_json(json), F.lit(path), "variant")
     return F.when(F.schema_of_variant(leaf) == "STRING", F.try_variant_get(F.try_parse_json(json), F.lit(path), "string"))
 

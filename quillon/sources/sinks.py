@@ -78,7 +78,7 @@ def report(sections: dict[str, DataFrame]) -> dict:
     """A report of small tables, with its hash; a section of over 1000 rows is an error, never cut."""
     out: dict = {}
     for name, df in sections.items():
-        rows = df.limit(REPORT_ROWS + 1).toJSON().collect()
+        rows = [r.j for r in df.limit(REPORT_ROWS + 1).select(F.to_json(F.struct("*")).alias("j")).collect()]
         if len(rows) > REPORT_ROWS:
             raise ValueError(f"{name} has over {REPORT_ROWS} rows")
         out[name] = sorted((json.loads(r) for r in rows), key=canonical_json)
