@@ -308,7 +308,8 @@ def remove_repeats(documents: DataFrame, length: int = 400) -> DataFrame:
     numbered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
     docs = materialize(profile(numbered, length), "profiles")
     keys = docs.select("row", F.explode("keys").alias("key"))
-    twice = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # written, so that both sides of the join below come from plain exchanges and a hot key's rows can be split
+    twice = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "twice")
     wanted = keys.join(twice, "key").groupBy("row").agg(F.collect_set("key").alias("wanted"))
     chosen = materialize(numbered.select("row", "text").join(wanted, "row"), "chosen")
     met = contexts(chosen.select("row", "text", "wanted"), length).repartition(width(spark), "key").sortWithinPartitions("key")
