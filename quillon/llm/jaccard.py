@@ -277,7 +277,7 @@ def candidates(packed: DataFrame, parts: int, hot: int, bands: Bands) -> DataFra
         if held and (out := match_part(held, part, hot, bands)) is not None:
             yield out
 
-    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, FOUND)
+    return packed.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(run, FOUND)
 
 
 def bit_sketch(s: np.ndarray) -> bytes:
