@@ -7,6 +7,7 @@ aggregates over every accepted page, before any scope), one for the scores.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import occurrences
@@ -70,3 +71,23 @@ def related_terms(title: str, aliases: list[str], budget: int = 256) -> list[str
             out.append(t)
             used += cost
     return out
+
+
+def batch_topk(pages: DataFrame, queries: DataFrame, k: int, most_queries: int = 100_000) -> DataFrame:
+    """query_id, rank, page_id, score: one phrase per query, all of them in one plan.
+
+    queries: query_id, term (three or more characters that don't overlap themselves). The queries are broadcast, so their number is
+    checked first; split a larger set. Each page is folded once, then compared with every phrase.
+    """
+    if queries.count() > most_queries:
+        raise ValueError(f"over {most_queries} queries; run them in blocks")
+    accepted = pages.where("status = 'accepted'").select("page_id", document_length().alias("dl"), F.lower("title").alias("t"), F.lower("content").alias("c"))
+    stats = accepted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    q = F.broadcast(queries.select("query_id", F.lower("term").alias("term")))
+    tf = lambda c: (F.length(c) - F.length(F.replace(F.col(c), F.col("term"), F.lit("")))) / F.length("term")
+    hits = accepted.join(q, F.contains(F.col("t"), F.col("term")) | F.contains(F.col("c"), F.col("term"))).select("query_id", "page_id", "dl", (tf("t") + tf("c")).alias("f"))
+    df = hits.groupBy("query_id").agg(F.count("*").alias("df"))
+    idf = F.log((F.lit(float(stats.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    score = F.when(idf <= 0, LEAST_IDF).otherwise(idf) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(float(stats.avgdl or 1.0))))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "page_id"))
+    return hits.join(df, "query_id").select("query_id", "page_id", F.round(score, 9).alias("score")).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "page_id", "score")

@@ -802,6 +802,34 @@ def search_export(m: Model) -> DataFrame:
     return search_documents(m.pages()).agg(F.count("*").alias("n"), F.sum(ids).alias("ids"))
 
 
+BATCH = "q as (select item_id query_id, lower(substring(text, 1, 12)) term from benchmark)"
+
+
+@query(ctes("pages") + f""", {BATCH}, acc as (select page_id, {DL} dl, lower(title) t, lower(content) c from pages where status = 'accepted'), st as (select count(*) n, avg(dl) avgdl from acc),
+ h as (select query_id, page_id, dl, (length(t) - length(replace(t, term, ''))) / length(term) + (length(c) - length(replace(c, term, ''))) / length(term) f from acc, q where contains(t, term) or contains(c, term)),
+ d as (select query_id, count(*) df from h group by query_id),
+ s as (select query_id, page_id, round(case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)), 9) score from h join d using (query_id), st)
+ select query_id, cast(row_number() over (partition by query_id order by score desc, page_id) as integer) "rank", page_id, score from s qualify row_number() over (partition by query_id order by score desc, page_id) <= 5""")
+def batch_bm25(m: Model) -> DataFrame:
+    """The first words of every benchmark item, each a query, in one plan."""
+    queries = m.table("benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 12).alias("term"))
+    return L.batch_topk(m.pages(), queries, 5)
+
+
+@query("""with s as (select p_partkey k, p_partkey % 3 = 0 has, p_partkey % 5 = 0 stale from part)
+ select cast(count(*) filter (not stale) as bigint) accepted, 0::bigint quarantined, 0::bigint failed, count(*) filter (stale) skipped, 0::bigint superseded, 0::bigint rejected, 0::bigint queued, count(*) total from s""")
+def compile_run(m: Model) -> DataFrame:
+    """A whole run with the mock compiler: every fifth source is behind its head, the others compile and pass."""
+    from .compile_run import compile_run as run
+
+    entities = _sources(m).withColumn("arrival", F.col("page_id"))
+    k = F.col("page_id")
+    heads = entities.select("entity_id", F.when(k % 5 == 0, 9).otherwise(0).alias("head_revision"), F.lit("s").alias("head_snapshot"))
+    current = entities.where(k % 3 == 0).select("entity_id", F.lit("old").alias("content"), F.lit(1).alias("generation"), F.lit("h").alias("page_hash"), F.lit("a").alias("page_artifact"))
+    tasks = m.spark.createDataFrame([], "entity_id string, task_status string, task_hash string, task_revision long")
+    return run(entities, ["name", "type", "words"], current, heads, tasks, "a", 100, 1 << 40).stats
+
+
 # --- streaming ---------------------------------------------------------------
 
 
