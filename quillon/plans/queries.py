@@ -372,7 +372,11 @@ def edge_type_counts(m: Model) -> DataFrame:
     return Q.build(Q.page_edges(_graph_pages(m))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(None)
+FRAME = " || ".join(f"cast(octet_length(encode({c})) as varchar) || ':' || {c}" for c in ("src", "dst", "kind"))
+
+
+@query(f"""with {SYN}, {HYP}, e as (select distinct src, dst, kind from syn union all select distinct src, dst, kind from hyp), x as (select sha256('edge' || chr(10) || {FRAME}) x from e),
+ b as (select substring(x, 1, 3) b, sha256(string_agg(x, chr(10) order by x)) h, count(*) n from x group by 1) select sha256(string_agg(b || ':' || h, chr(10) order by b || ':' || h)) source_hash, cast(sum(n) as bigint) n_edges from b""")
 def edge_source_hash(m: Model) -> DataFrame:
     return Q.source_hash(Q.build(Q.page_edges(_graph_pages(m))))
 
