@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -45,8 +47,31 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Give freed memory back: a worker process stays after its task and its pools would stay with it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow in batches of bounded bytes: texts are long, and 10,000 rows of them may be gigabytes."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # Spark's default; a session's own choice stays
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df.mapInArrow(trimmed, schema)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+    """in_arrow with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,7 +83,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordB
             else:
                 yield from out
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def text_slices(column: pa.Array) -> Iterator[bytes | None]:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import aside, back, components, map_batches, materialize, mix64, pieces, table, text_slices, width, word_hashes
+from .common import aside, back, components, in_arrow, map_batches, materialize, mix64, pieces, table, text_slices, width, word_hashes
 
 U = np.uint64
 #: Odd multipliers of a word's place in its shingle.
@@ -165,7 +165,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     each = np.frombuffer(blob, np.uint32, m, at := at + 12 * m)
     low = np.frombuffer(blob, np.uint32, count, at := at + 4 * m)
     high = np.frombuffer(blob, np.uint16, count, at + 4 * count)
-    return keys, n, low.astype(U) | high.astype(U) << U(32), np.repeat(np.arange(m), each)
+    return keys, n, low.astype(U) | high.astype(U) << U(32), np.repeat(np.arange(m, dtype=np.int32), each)
 
 
 def packed_words(documents: DataFrame, size: int, bands: Bands, parts: int, flush: int = 1 << 20) -> DataFrame:
@@ -205,7 +205,7 @@ def packed_words(documents: DataFrame, size: int, bands: Bands, parts: int, flus
         if held:
             yield out()
 
-    return documents.select("text").mapInArrow(run, "part int, blob binary")
+    return in_arrow(documents.select("text"), run, "part int, blob binary")
 
 
 FOUND = "kind int, a1 long, a2 long, b1 long, b2 long, triple long, band int, shared long, na long, ua long, nb long, ub long"
@@ -216,7 +216,7 @@ def match_part(blobs: list[bytes], part: int, hot: int, bands: Bands) -> pa.Reco
     keys, n, words, entry, base = [], [], [], [], 0
     for blob in blobs:
         k, m, w, e = unpack(blob)
-        keys.append(k), n.append(m), words.append(w), entry.append(e + base)
+        keys.append(k), n.append(m), words.append(w), entry.append(e + np.int32(base))
         base += len(k)
     keys, n = np.concatenate(keys), np.concatenate(n).astype(np.int64)
     words, entry = np.concatenate(words), np.concatenate(entry)
@@ -224,7 +224,7 @@ def match_part(blobs: list[bytes], part: int, hot: int, bands: Bands) -> pa.Reco
     words = words[order]
     same = words[1:] == words[:-1]
     keep = np.append(same, False) | np.append(False, same)
-    words, entry = words[keep], entry[order][keep]
+    words, entry = words[keep], entry[order[keep]]
     del order, same, keep
     if not len(words):
         return None
@@ -277,7 +277,7 @@ def candidates(packed: DataFrame, parts: int, hot: int, bands: Bands) -> DataFra
         if held and (out := match_part(held, part, hot, bands)) is not None:
             yield out
 
-    return packed.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(run, FOUND)
+    return in_arrow(packed.repartitionById(parts, F.col("part")).sortWithinPartitions("part"), run, FOUND)
 
 
 def bit_sketch(s: np.ndarray) -> bytes:
@@ -354,7 +354,8 @@ def family_pairs(members: DataFrame, bands: Bands, block: int = 2048) -> DataFra
         if held:
             yield from close(held, key[1], key[2])
 
-    return paired.select(*columns).repartition(width(members.sparkSession), "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+    dealt_out = paired.select(*columns).repartition(width(members.sparkSession), "family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return in_arrow(dealt_out, run, "a1 long, a2 long, b1 long, b2 long")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
@@ -372,7 +373,7 @@ def jaccard_components(documents: DataFrame, size: int = 5, num: int = 75, den:
     bands = Bands(num, den)
     docs = materialize(document_classes(documents, size), "classes")
     classes = docs.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    parts = max(8, width(spark) // 3)
+    parts = max(8, width(spark) // 2)
     found = materialize(candidates(packed_words(documents, size, bands, parts), parts, hot, bands), "found")
 
     # A document with u non-empty blocks, h of them hot, shares u - h - bound cold ones with each partner, or more.

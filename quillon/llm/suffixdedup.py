@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, map_batches, materialize, mix64, table, text_slices, width
+from .common import Rolling, in_arrow, map_batches, materialize, mix64, table, text_slices, width
 
 U = np.uint64
 GRAM, CHUNK, SYMBOLS = 24, 128, 4
@@ -86,9 +86,9 @@ def profile(documents: DataFrame, length: int) -> DataFrame:
 
 
 def contexts(chosen: DataFrame, length: int) -> DataFrame:
-    """(key, context, offset, at): at packs the (row, first start) of all of a batch's occurrences of a context."""
+    """(key, context, offset, at): at packs the (row, first start) of the occurrences of a context that a task holds together."""
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int, bytes], list[int]] = {}
         size = 0
 
@@ -97,21 +97,22 @@ def contexts(chosen: DataFrame, length: int) -> DataFrame:
             at = [np.array(x, "<i8").tobytes() for x in held.values()]
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(text, pa.binary()), pa.array(offsets, pa.int32()), pa.array(at, pa.binary())], ["key", "context", "offset", "at"])
 
-        for row, text, wanted in zip(batch.column("row").to_pylist(), text_slices(batch.column("text")), batch.column("wanted"), strict=True):
-            key, first, last, offset = chunks(np.frombuffer(text, np.uint8), length)
-            key = key.view(np.int64)
-            mine = np.flatnonzero(np.isin(key, wanted.values.to_numpy(zero_copy_only=False)))
-            for k, a, b, o in zip(key[mine].tolist(), first[mine].tolist(), last[mine].tolist(), offset[mine].tolist(), strict=True):
-                at = held.setdefault((k, o, text[a : b + length]), [])
-                size += 16 + (0 if at else b - a + length)
-                at += (row, a)
-            if size > 8 << 20:
-                yield out()
-                held, size = {}, 0
+        for batch in batches:
+            for row, text, wanted in zip(batch.column("row").to_pylist(), text_slices(batch.column("text")), batch.column("wanted"), strict=True):
+                key, first, last, offset = chunks(np.frombuffer(text, np.uint8), length)
+                key = key.view(np.int64)
+                mine = np.flatnonzero(np.isin(key, wanted.values.to_numpy(zero_copy_only=False)))
+                for k, a, b, o in zip(key[mine].tolist(), first[mine].tolist(), last[mine].tolist(), offset[mine].tolist(), strict=True):
+                    at = held.setdefault((k, o, text[a : b + length]), [])
+                    size += 16 + (0 if at else b - a + length)
+                    at += (row, a)
+                if size > 16 << 20:
+                    yield out()
+                    held, size = {}, 0
         if held:
             yield out()
 
-    return map_batches(chosen, run, "key long, context binary, offset int, at binary")
+    return in_arrow(chosen, run, "key long, context binary, offset int, at binary")
 
 
 def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,7 +283,7 @@ def spans(met: DataFrame, length: int) -> DataFrame:
         settle()
         yield from out()
 
-    return met.mapInArrow(run, "row long, first long, last long")
+    return in_arrow(met, run, "row long, first long, last long")
 
 
 def cut(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:

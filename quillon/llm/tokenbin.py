@@ -44,12 +44,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER_TO_LOWER, pieces, scratch, table, text_slices, width
+from .common import UPPER_TO_LOWER, in_arrow, pieces, scratch, table, text_slices, width
 
 MAGIC = b"EFTOKEN1"
 BLOCK = 1 << 16
 SAMPLE = 256
-CACHED = 400_000
+CACHED = 300_000
 TRAILING, LOWER, WHITE = (np.isin(np.arange(256), list(x)) for x in (b"!#$%&*,.:;?|", bytes(range(97, 123)), b" \t\n\r\f\v"))
 
 
@@ -299,7 +299,7 @@ def write_ids(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 1
     fs, path = _filesystem(folder)
     fs.create_dir(path)
     ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, "part long, file long, uri string, n_docs long, n_ids long")
+    return in_arrow(ordered, run, "part long, file long, uri string, n_docs long, n_ids long")
 
 
 def read_ids(spark: SparkSession, manifest: list, with_ids: bool = False) -> DataFrame:
@@ -327,7 +327,7 @@ def read_ids(spark: SparkSession, manifest: list, with_ids: bool = False) -> Dat
                     yield _rows(held, with_ids)
 
     files = spark.createDataFrame(rows, "uri string, base long")
-    return files.repartition(max(1, min(len(rows), 4 * width(spark)))).mapInArrow(run, f"doc_id long, start long, n_tokens long, ids_crc32 long{extra}")
+    return in_arrow(files.repartition(max(1, min(len(rows), 4 * width(spark)))), run, f"doc_id long, start long, n_tokens long, ids_crc32 long{extra}")
 
 
 def _rows(held: list, with_ids: bool) -> pa.RecordBatch:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_arrow, table
 
 EXACT = float(1 << 53)
 
@@ -121,7 +121,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block_queries: int = 1
             if rows:
                 yield from flush(held)
 
-        return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
+        return in_arrow(vectors, run, "query_id long, vec_id long, score long")
 
     for row in queries.toLocalIterator():
         block.append((row.id, np.array(row.v, np.int64)))

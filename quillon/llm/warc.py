@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import in_arrow, scratch, table
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "record_type string, record_id string, concurrent_to string, refers_to string, target string, payload_bytes long, payload_digest string, page_id long, payload binary"
@@ -102,7 +102,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 types = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["record_type", "record_id", "concurrent_to", "refers_to", "target", "payload_bytes", "payload_digest", "page_id", "payload"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, RECORDS)
+    return in_arrow(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content"), run, RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
