@@ -7,8 +7,8 @@ item is binary-searched in each shard's array; the interval that it finds gives
 all verbatim occurrences of a window, and chains of neighbouring windows on one
 diagonal are the longest matches.
 
-The training side is never shuffled. The test items travel to the executors in
-blocks of at most `block_bytes`, each a pass over the training text.
+The training side's texts are never shuffled. The test items travel to the
+executors in blocks of at most `block_bytes`, each a pass over the training text.
 
 Edge cases: null or wordless texts have no words and no hits; an item of fewer
 than `window` words is one window of its own length; repeated documents are
@@ -18,6 +18,7 @@ judged each by itself; repeated item ids count once; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,45 +160,81 @@ def matches(documents: DataFrame, benchmark: DataFrame, window: int = 8, block_b
 
 
 def judge(documents: DataFrame, benchmark: DataFrame, window: int = 8, block_bytes: int = 16 << 20, keep_columns: bool = False) -> DataFrame:
-    """One row per document row: n_words, n_hit, n_items, items_sha256; with keep_columns, all its own columns first.
+    """One row per document row: q_n_words, q_n_hit, q_n_items, q_items_sha256; with keep_columns, all its own columns first.
 
-    With one block of test items, the whole is a single pass without a shuffle.
-    More blocks need the hit positions of each document to be united: those
-    rows alone are then aggregated by row.
+    One block of test items is a single pass without a shuffle. With more, each
+    block is a pass of its own whose hits (not the texts) are then united by row.
     """
     names = documents.columns if keep_columns else ["doc_id"]
-    blocks = list(_blocks(benchmark, block_bytes))
-    broadcasts = [documents.sparkSession.sparkContext.broadcast(TestSet(block, window)) for block in blocks]
-    source = documents.select(*dict.fromkeys([*names, "text"]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*names).schema)
+    blocks = _blocks(benchmark, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _judge_once(documents, names, documents.sparkSession.sparkContext.broadcast(TestSet(first, window)))
+    numbered = documents.withColumn("q_row", F.monotonically_increasing_id())
+    hits = None
+    for block in itertools.chain([first, second], blocks):
+        part = _hits(numbered, documents.sparkSession.sparkContext.broadcast(TestSet(block, window)))
+        hits = part if hits is None else hits.unionByName(part)
+    hits = hits.groupBy("q_row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    none = F.array().cast("array<bigint>")
+    items = F.coalesce("items", none)
+    joined = _counted(numbered, [*names, "q_row"]).join(hits, "q_row", "left")
+    ids = F.array_join(F.array_sort(F.transform(items, lambda x: x.cast("string"))), ",")
+    return joined.select(*names, "q_n_words", F.size(F.coalesce("places", none)).cast("long").alias("q_n_hit"), F.size(items).cast("long").alias("q_n_items"), F.sha2(ids.cast("binary"), 256).alias("q_items_sha256"))
+
+
+def _schema(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
+
+
+def _counted(documents: DataFrame, names: list[str]) -> DataFrame:
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = [len(words(t)) for t in text_slices(batch.column("text"))]
+        return pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(n, pa.int64())], [*names, "q_n_words"])
+
+    return map_batches(documents.select(*dict.fromkeys([*names, "text"])), count, f"{_schema(documents, names)}, q_n_words bigint")
+
+
+def _hits(numbered: DataFrame, shared) -> DataFrame:
+    """(q_row, places of hit words, items) of the documents that a block of test items hits."""
 
     def find(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        per = []
-        for shared in broadcasts:
-            test = shared.value
-            per.append([(docs, n, start, found, where, test) for docs, n, start, found, where in _shards(test, batch)])
+        test = shared.value
+        rows = batch.rename_columns([{"q_row": "doc_id"}.get(c, c) for c in batch.schema.names])
+        for docs, _, start, found, where in _shards(test, rows):
+            out: dict[int, tuple[set, set]] = {}
+            for d, item, at, size in zip((np.searchsorted(start, where, "right") - 1).tolist(), test.item[found].tolist(), where.tolist(), test.size[found].tolist(), strict=True):
+                places, items = out.setdefault(d, (set(), set()))
+                places.update(range(at - int(start[d]), at - int(start[d]) + size))
+                items.add(item)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([docs[d] for d in out], pa.int64()), pa.array([list(p) for p, _ in out.values()], pa.list_(pa.int64())), pa.array([list(i) for _, i in out.values()], pa.list_(pa.int64()))], ["q_row", "places", "items"])
+
+    return map_batches(numbered.select("q_row", "text"), find, "q_row bigint, places array<bigint>, items array<bigint>")
+
+
+def _judge_once(documents: DataFrame, names: list[str], shared) -> DataFrame:
+    def find(batch: pa.RecordBatch) -> pa.RecordBatch:
+        test = shared.value
         n_all, n_hit, n_items, digest = [], [], [], []
-        for shard in zip(*per, strict=True):
-            docs, n, start = shard[0][:3]
-            total = int(n.sum()) + len(n)
-            edge = np.zeros(total + 1, np.int64)
-            items: dict[int, set] = {}
-            for _, _, _, found, where, test in shard:
-                np.add.at(edge, where, 1)
-                np.add.at(edge, where + test.size[found], -1)
-                for d, item in set(zip((np.searchsorted(start, where, "right") - 1).tolist(), test.item[found].tolist(), strict=True)):
-                    items.setdefault(d, set()).add(item)
+        for _, n, start, found, where in _shards(test, batch):
+            edge = np.zeros(int(n.sum()) + len(n) + 1, np.int64)
+            np.add.at(edge, where, 1)
+            np.add.at(edge, where + test.size[found], -1)
             hit = np.append(0, np.cumsum(np.cumsum(edge[:-1]) > 0))
+            items: dict[int, set] = {}
+            for d, item in zip((np.searchsorted(start, where, "right") - 1).tolist(), test.item[found].tolist(), strict=True):
+                items.setdefault(d, set()).add(item)
             n_all += n.tolist()
             n_hit += (hit[start + n] - hit[start]).tolist()
             for d in range(len(n)):
                 mine = sorted(map(str, items.get(d, ())))
                 n_items.append(len(mine))
                 digest.append(hashlib.sha256(",".join(mine).encode()).hexdigest())
-        own = [batch.column(x) for x in names]
-        yield pa.RecordBatch.from_arrays([*own, pa.array(n_all, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string())], [*names, "q_n_words", "q_n_hit", "q_n_items", "q_items_sha256"])
+        added = [pa.array(n_all, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string())]
+        return pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *added], [*names, "q_n_words", "q_n_hit", "q_n_items", "q_items_sha256"])
 
-    return map_batches(source, find, f"{schema}, q_n_words bigint, q_n_hit bigint, q_n_items bigint, q_items_sha256 string")
+    return map_batches(documents.select(*dict.fromkeys([*names, "text"])), find, f"{_schema(documents, names)}, q_n_words bigint, q_n_hit bigint, q_n_items bigint, q_items_sha256 string")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 1) -> DataFrame:

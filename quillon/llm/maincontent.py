@@ -43,6 +43,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in class, id and role that speak for or against an element; weights of the classifier.
 BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising adslot banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs footer header masthead sidebar side rail widget related recommended share sharing social follow subscribe newsletter signup login cookie cookies consent gdpr notice alert modal popup overlay comment comments disqus reply replies respond discussion reactions form search searchbox pagination pager tags toolbar copyright legal disclaimer skip complementary contentinfo toc outbrain taboola paywall".split())
 GOOD_WORDS = frozenset("article articlebody body content entry main post story text hentry page".split())
+#: Words by which a class says how a page is laid out, not what the element is.
+LAYOUT_WORDS = frozenset("with has no without layout wrap wrapper container columns grid".split())
 WEIGHTS = {"bias": 0.2, "article": 2.5, "bad": -9.0, "good": 1.0, "links": -4.0, "long": 0.8, "heading": 0.6, "stray": -0.8}
 ADJACENT, RELATED = 0.35, 0.5
 
@@ -65,7 +67,9 @@ class Element:
                 value = (a[2] or a[3] or a[4] or "").lower()
                 what = a[1].lower()
                 if what in ("class", "id", "role", "itemprop"):
-                    words |= set(NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", a[2] or a[3] or a[4] or "").lower()))
+                    for token in (a[2] or a[3] or a[4] or "").split():
+                        parts = set(NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()))
+                        words |= parts - BAD_WORDS if parts & LAYOUT_WORDS else parts
                 elif what == "hidden" or what == "aria-hidden" and value == "true" or what == "style" and "display:none" in value.replace(" ", ""):
                     hidden = True
         p = parent
@@ -73,6 +77,8 @@ class Element:
         in_article = p is not None and p.article
         # a header inside an article may hold its headline
         self.never = (p is not None and p.never) or hidden or name in NEVER and not (name == "header" and in_article)
+        if in_article:
+            words.discard("header")
         bad = bool(words & BAD_WORDS) and name not in ("body", "html") and not (name in ("article", "main") and words & GOOD_WORDS)
         nested = name == "article" and in_article and not (words & GOOD_WORDS)  # comments are often articles in an article
         self.bad = (p.bad if p else 0) + bad + nested

@@ -321,6 +321,7 @@ def test_mix(spark):
         ("<html><body><header><h1>Site</h1></header><nav><ul><li><a>A</a><li><a>B</a></ul></nav><article><header><h1>T &amp; U</h1></header><p>One <b>bold\n\n text<br>next<p>Two &copy; 5 &lt; 6</article><aside>Side</aside><footer>Foot</footer>", "T & U\n\nOne bold text next\n\nTwo © 5 < 6"),
         ('<main><p>Body text of the page stands here.</p><div class="comments"><article><p>I disagree.</p></article></div><form><p>Mail</p><input></form></main><div id="cookie-notice"><p>We use cookies</p></div>', "Body text of the page stands here."),
         ('<body><div class="sidebar"><p>Other</p></div><div class="content"><h2>Head</h2><p>The first paragraph says quite a lot, really.</p><script>if (a<b) "</p>"</script><p>So does the second.</p></div></body>', "Head\n\nThe first paragraph says quite a lot, really.\n\nSo does the second."),
+        ('<div class="content-with-sidebar"><article><div class="article-header"><h1>Head</h1></div><p>Text of some length.</p><div class="share-bar"><p>Share this</p></div></article><div class="sidebar"><p>Other things</p></div></div>', "Head\n\nText of some length."),
         ("<article><p>a < b and c</p><!-- no --><p>&nbsp;x&#x41;&nbsp;</p></article>", "a < b and c\n\nxA"),
     ],
 )
