@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_arrow, scratch, table
+from .common import in_arrow, materialize, scratch, table
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "record_type string, record_id string, concurrent_to string, refers_to string, target string, payload_bytes long, payload_digest string, page_id long, payload binary"
@@ -52,7 +52,8 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = 1000, recor
     page = pages.select(F.struct(F.col("page_id").cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row")).alias("key"), target.alias("target"), F.coalesce(F.col("html"), F.lit("")).alias("block"))
     page = page.withColumns({"bytes": F.octet_length("block").cast("long"), "digest": F.sha1(F.col("block").cast("binary")), "sha256": F.sha2(F.col("block").cast("binary"), 256)})
     large = F.col("bytes") >= revisit_bytes
-    firsts = page.where(large).groupBy("sha256").agg(F.max("key").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("sha256").alias("of"), "first")
+    # written, so that the join below is between plain exchanges and a payload of very many pages can be split over tasks
+    firsts = materialize(page.where(large).groupBy("sha256").agg(F.max("key").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("sha256").alias("of"), "first"), "firsts")
     page = page.join(firsts, large & (F.col("sha256") == F.col("of")), "left")
     revisit = F.col("first").isNotNull() & (F.col("first") != key)
     kind = F.when(revisit, "revisit").otherwise("response")
@@ -121,7 +122,7 @@ def assemble(records: DataFrame) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    whole = assemble(read_archives(spark, path, payloads=False))
+    whole = assemble(materialize(read_archives(spark, path, payloads=False), "records"))
     return whole.select(F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), "record_type", F.col("refers_to_page").alias("refers_to"))
 
 
