@@ -33,7 +33,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often as their source's blocks were taken, up to three times."""
+    """The mix: whole documents, up to three times each, so that every source's words come near its target."""
     return mixed_documents(docs)
 
 

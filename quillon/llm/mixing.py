@@ -86,7 +86,7 @@ def code_points(name: str | None) -> tuple:
 
 
 def mix(documents: DataFrame, weights=WEIGHTS, most: int = 3, block_words: int = 64, shard_words: int = 1 << 20, max_shards: int = 4096, seed: int = 17) -> DataFrame:
-    """Every row of `documents` with q_size, q_source_size, q_target and q_taken.
+    """Every row of `documents` with q_size, q_source_size, q_target, q_taken (words) and q_copies (how often the block of its middle word is taken).
 
     weights: repeat over the sources in code-point order.
     """
@@ -131,7 +131,9 @@ def mix(documents: DataFrame, weights=WEIGHTS, most: int = 3, block_words: int =
         .when(F.expr(f"{first} = {last}"), F.col("q_size") * once(first))
         .otherwise(F.expr(f"({first} + 1) * {block_words} - q_start") * once(first) + F.expr(f"q_end - {last} * {block_words}") * once(last) + block_words * inner)
     )
-    return dealt.withColumn("q_taken", taken.cast("long")).select(*[f"`{c}`" for c in documents.columns], "q_size", "q_source_size", "q_target", "q_taken")
+    middle = f"((q_start + q_size div 2) div {block_words})"
+    copies = F.when(F.col("q_size") == 0, 0).otherwise(once(middle))
+    return dealt.withColumns({"q_taken": taken.cast("long"), "q_copies": copies.cast("int")}).select(*[f"`{c}`" for c in documents.columns], "q_size", "q_source_size", "q_target", "q_taken", "q_copies")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
@@ -140,8 +142,7 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(documents: DataFrame, **how) -> DataFrame:
-    """The mix as documents: each is there floor(taken / size + 1/2) times (a document that is taken to less than half goes)."""
+    """The mix as whole documents: each as often as the block of its middle word is taken, so that a source's words come near its target."""
     safe = aside(documents, "doc_id", "source", "text")
-    times = F.floor(F.col("q_taken") / F.col("q_size") + 0.5).cast("int")
-    taken = mix(safe, **how).where("q_size > 0").withColumn("q_times", times).where("q_times > 0")
-    return back(taken.withColumn("q_copy", F.explode(F.sequence(F.lit(1), F.col("q_times")))), safe, documents)
+    taken = mix(safe, **how).where("q_copies > 0")
+    return back(taken.withColumn("q_copy", F.explode(F.sequence(F.lit(1), F.col("q_copies")))), safe, documents)

@@ -303,6 +303,11 @@ def test_mix(spark):
     want = mixing.targets([per[s][0] for s in names], [float(mixing.WEIGHTS[i % 3]) for i in range(len(names))])
     for s, t in zip(names, want, strict=True):
         assert per[s][0] == per[s][1] and per[s][2] == pytest.approx(t) and abs(per[s][3] - t) <= 0.03 * t + 128
+    words = defaultdict(int)
+    for r in rows:
+        assert (r.q_copies > 0) <= (r.q_taken > 0)
+        words[r.source] += r.q_copies * r.q_size
+    assert all(abs(words[s] - t) <= 0.25 * t + 600 for s, t in zip(names, want, strict=True))
     again = mixing.mix(df.repartition(3)).collect()
     assert Counter((r.doc_id, r.text, r.q_taken) for r in again) == Counter((r.doc_id, r.text, r.q_taken) for r in rows)
     assert mixing.mix(df.where("doc_id > 900")).count() == 0
@@ -518,8 +523,7 @@ def test_pipeline_stages(spark):
     mixed = corpus_pipeline.source_mixing(spark, docs, SF)
     times = Counter(r.doc_id for r in mixed.collect())
     assert mixed.columns == names and max(times.values()) <= 3
-    taken = {r.doc_id: (r.q_taken, r.q_size) for r in mixing.mix(docs).collect()}
-    assert all(times[d] == int(t / s + 0.5) for d, (t, s) in taken.items() if s)
+    assert all(times[r.doc_id] == r.q_copies for r in mixing.mix(docs).collect())
 
     got = corpus_pipeline.token_id_output(spark, docs, SF).orderBy("doc_id").collect()
     assert [r.doc_id for r in got] == sorted(r.doc_id for r in rows)
