@@ -115,15 +115,15 @@ def fit(x: np.ndarray, good: np.ndarray, ridge: float = 1e-4, rounds: int = 400)
     """Logistic weights (the last is the bias) on soft labels, classes weighing alike, by accelerated gradient steps."""
     if not len(x):
         return np.zeros(SIZE + 1)
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     each = good / max(good.sum(), 1e-9) + (1 - good) / max((1 - good).sum(), 1e-9)
     each /= each.sum()
     w = before = np.zeros(x.shape[1])
     step = 1.3  # rows have length sqrt(3) at most, so the slope's rate of change is under 1
     for t in range(rounds):
         ahead = w + t / (t + 3) * (w - before)
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -500, 500)))
-        slope = x.T @ (each * (p - good)) + ridge * np.append(ahead[:-1], 0)
+        p = 1 / (1 + np.exp(-np.clip(x @ ahead.astype(x.dtype), -500, 500).astype(float)))
+        slope = x.T @ (each * (p - good)).astype(x.dtype) + ridge * np.append(ahead[:-1], 0)
         before, w = w, ahead - step * slope
     return w
 
@@ -151,7 +151,7 @@ def model(documents: DataFrame, fit_rows: int = 4096) -> tuple[np.ndarray, dict[
     if part < 1:
         chosen = chosen.where(F.xxhash64(F.lit(29), "doc_id", "text") < F.lit(int(-(1 << 63) + part * (1 << 64))))
     rows = sorted(map_batches(chosen.where("length(text) > 0").dropDuplicates(["doc_id", "text"]), look, "doc_id long, good double, x binary").collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.x))
-    x = np.array([np.frombuffer(r.x, "<f4") for r in rows], float).reshape(len(rows), SIZE)
+    x = np.array([np.frombuffer(r.x, "<f4") for r in rows], np.float32).reshape(len(rows), SIZE)
     weights = fit(x, np.array([r.good for r in rows]))
     return weights, posterior, {"share": share, "accuracy": dict(zip(LABELLERS, accuracy.tolist(), strict=True))}
 
