@@ -1,6 +1,6 @@
 """One compile run: prepare, admit, claim, compile, check, score, gate, publish, account.
 
-The run is a function of tables. A compiler is anything that maps sources to
+The run is a function of tables; each step's rows are written before the next reads them. A compiler is anything that maps sources to
 evidence (`mock_evidence` here); everything around it is the run's own.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compiling as C
 from ..operators.merge import first_by
+from ..sources.shared import written
 
 
 @dataclass
@@ -41,16 +42,16 @@ def compile_run(entities: DataFrame, knowledge: list[str], current: DataFrame, h
     sound = sources.where("preflight is null")
     admitted = C.admit(sound, heads, current.select("entity_id", "page_hash", "page_artifact"), tasks, artifact)
     queue = admitted.where("admission in ('inserted', 'queued', 'queued_epoch')").join(sources.select("entity_id", "snapshot", "source_hash"), "entity_id")
-    queue = queue.select(F.lit("run").alias("domain"), F.col("entity_id").alias("task_id"), F.lit("pending").alias("status"), F.lit(now).alias("next_attempt_at"), F.lit(0).alias("retry_count"), (F.octet_length("snapshot") + 256).alias("cost"))
-    claimed = C.claim(queue, now, 1 << 30, budget).select(F.col("task_id").alias("entity_id"), "lease_until")
+    queue = written(queue.select(F.lit("run").alias("domain"), F.col("entity_id").alias("task_id"), F.lit("pending").alias("status"), F.lit(now).alias("next_attempt_at"), F.lit(0).alias("retry_count"), (F.octet_length("snapshot") + 256).alias("cost")), "queue")
+    claimed = written(C.claim(queue, now, 1 << 30, budget).select(F.col("task_id").alias("entity_id"), "lease_until"), "claimed")
     work = once.join(claimed, "entity_id", "left_semi")
-    evidence = compiler(work, knowledge)
+    evidence = written(compiler(work, knowledge), "evidence")  # a compiler may be costly or not repeatable
     refs, assertions = explode_evidence(evidence, work)
     units = C.coverable_units(work, knowledge)
     ids = work.select(F.col("entity_id").alias("page_id"), "entity_id", "source_revision")
-    checked = C.check_refs(refs, units, ids)
+    checked = written(C.check_refs(refs, units, ids), "checked")
     report = C.ref_report(checked, C.check_assertions(assertions, checked))
-    scored = C.gate(C.scores(report, units.groupBy(F.col("entity_id").alias("page_id")).agg(F.count("*").alias("units"))))
+    scored = written(C.gate(C.scores(report, units.groupBy(F.col("entity_id").alias("page_id")).agg(F.count("*").alias("units")))), "scored")
     accepted = scored.where("accepted").select(F.col("page_id").alias("entity_id"))
     compiled = evidence.join(accepted, "entity_id", "left_semi").join(sources.select("entity_id", "source_hash"), "entity_id").select("entity_id", F.lit("run").alias("token"), "source_hash", F.col("markdown").alias("content"))
     fenced = claimed.select("entity_id", F.lit("running").alias("status"), F.lit("run").alias("token"), "lease_until")

@@ -20,6 +20,7 @@ from ..operators import qug as Q
 from ..operators import vectors as V
 from ..sources import readers as R
 from ..sources.model import Model, ctes
+from ..sources.shared import shared_path
 from ..streaming import streams as ST
 from .search import Query, scope_or_relaxed, search
 
@@ -643,11 +644,7 @@ def compatibility_violations(m: Model) -> DataFrame:
 @query("select 'shop:part:' || cast(p_partkey as varchar) entity_id, 1::bigint source_revision, p_name as \"name\", cast(p_size as double) size, p_partkey % 2 = 0 on_sale from part where p_partkey % 10 <> 3")
 def jsonl_roundtrip(m: Model) -> DataFrame:
     """Written as JSON lines (some rows mistyped), read back strictly."""
-    import tempfile
-    import uuid
-
-    base = m.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillon-jsonl-')}"
-    path = f"{base.rstrip('/')}/jsonl-{uuid.uuid4().hex}"
+    path = shared_path(m.spark, "jsonl")
     k = F.col("p_partkey")
     size = F.when(k % 10 == 3, F.lit('"many"')).otherwise(F.col("p_size").cast("string"))
     line = F.concat(F.lit('{"entity_id": "shop:part:'), k.cast("string"), F.lit('", "name": "'), "p_name", F.lit('", "size": '), size, F.lit(', "on_sale": '), (k % 2 == 0).cast("string"), F.lit("}"))
@@ -784,13 +781,9 @@ def snapshot_problems(m: Model) -> DataFrame:
 @query(f"with {SYN}, {HYP} select count(*) n_edges, 1::bigint generation, 'reused' again from (select distinct src, dst, kind from syn union all select distinct src, dst, kind from hyp)")
 def graph_publish(m: Model) -> DataFrame:
     """Publish a build, load it back; publishing it again changes nothing."""
-    import tempfile
-    import uuid
-
     from ..sources.sinks import PublishedTable
 
-    base = m.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillon-graph-')}"
-    table = PublishedTable(m.spark, f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}")
+    table = PublishedTable(m.spark, shared_path(m.spark, "graph"))
     edges = Q.build(Q.page_edges(_graph_pages(m)))
     table.publish(edges)
     generation, live = table.current()

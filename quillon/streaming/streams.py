@@ -6,12 +6,11 @@ input (availableNow) into Parquet and reads it back.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
+
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """A folder (or file) of Parquet as a stream; event times must be instants, so local times are read in the session's zone."""
@@ -44,8 +43,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     Complete results are replaced batch by batch, appended ones added; the checkpoint is in the shared folder, so a lost driver goes on from it.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillon-stream-')}"
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stream")
     schema = stream.schema
 
     def put(batch: DataFrame, number: int) -> None:
