@@ -372,7 +372,8 @@ def jaccard_components(documents: DataFrame, size: int = 5, num: int = 75, den:
     spark = documents.sparkSession
     bands = Bands(num, den)
     docs = materialize(document_classes(documents, size), "classes")
-    classes = docs.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    # written, so that the last join is between plain exchanges and the copies of one set can be split over tasks
+    classes = materialize(docs.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
     parts = max(8, width(spark) // 2)
     found = materialize(candidates(packed_words(documents, size, bands, parts), parts, hot, bands), "found")
 
