@@ -766,6 +766,15 @@ def lease_heartbeat(m: Model) -> DataFrame:
     return C.heartbeat(tasks, beats, 100).select("task_id", "lease_until")
 
 
+@query("select o_orderkey task_id, case when o_orderkey % 3 = 0 and o_orderkey % 200 >= 100 then 400 else o_orderkey % 200 end lease_until from orders")
+def lease_heartbeat_all(m: Model) -> DataFrame:
+    """As `lease_heartbeat`, with every order a task."""
+    k = F.col("o_orderkey")
+    tasks = m.table("orders").select(k.alias("task_id"), F.lit("running").alias("status"), F.lit("t").alias("token"), F.lit(1).alias("epoch"), (k % 200).alias("lease_until"))
+    beats = tasks.where("task_id % 3 <> 1").select("task_id", F.when(F.col("task_id") % 3 == 0, "t").otherwise("stale").alias("token"), "epoch")
+    return C.heartbeat(tasks, beats, 100).select("task_id", "lease_until")
+
+
 @query("select count(*) filter (o_orderkey % 4 = 0) accepted, count(*) filter (o_orderkey % 4 = 1) quarantined, count(*) filter (o_orderkey % 4 = 2) failed, count(*) filter (o_orderkey % 4 = 3) skipped, 0::bigint superseded, 0::bigint rejected, 0::bigint queued, count(*) total from orders")
 def compile_stats(m: Model) -> DataFrame:
     outcome = F.element_at(F.array(*map(F.lit, ("accepted", "quarantined", "failed", "skipped"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
