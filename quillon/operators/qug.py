@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import framed_hash, normalize
 
 PHRASES, TERMS, DEPTH = 16, 64, 4
+BROADCAST_ROWS = 50_000
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
@@ -38,9 +39,13 @@ def longest_matches(queries: DataFrame, edges: DataFrame) -> DataFrame:
 
     Substrings of a query are few (its length times the longest phrase), so
     they are exploded and joined by equality, not compared with every phrase.
+    Spark's estimate doesn't see the explosion and would broadcast the substrings;
+    so the phrases are, up to BROADCAST_ROWS of them, and else both are shuffled.
     """
     phrases = edges.select(F.col("src").alias("phrase")).unionByName(edges.select(F.col("dst").alias("phrase"))).distinct()
-    longest = phrases.agg(F.max(F.length("phrase")).alias("m")).first().m or 0
+    size = phrases.agg(F.max(F.length("phrase")).alias("m"), F.count("*").alias("n")).first()
+    longest = size.m or 0
+    phrases = F.broadcast(phrases) if size.n <= BROADCAST_ROWS else phrases.hint("merge")
     q = queries.select("query_id", normalize(F.col("query_text")).alias("q")).where("q is not null")
     starts = q.select("query_id", "q", F.explode(F.sequence(F.lit(1), F.length("q"))).alias("start"))
     spans = starts.select("query_id", "start", "q", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(longest), F.length("q") - F.col("start") + 1)))).alias("n"))

@@ -382,8 +382,12 @@ def edge_source_hash(m: Model) -> DataFrame:
     return Q.source_hash(Q.build(Q.page_edges(_graph_pages(m))))
 
 
+def _part_queries(parts: DataFrame) -> DataFrame:
+    return parts.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("  Find "), F.upper("p_name"), F.lit("  and nothing")).alias("query_text"))
+
+
 def _graph_queries(m: Model) -> DataFrame:
-    return m.table("part").where("p_partkey < 60").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("  Find "), F.upper("p_name"), F.lit("  and nothing")).alias("query_text"))
+    return _part_queries(m.table("part").where("p_partkey < 60"))
 
 
 GRAPH_Q = "q as (select p_partkey query_id, 'find ' || p_name || ' and nothing' t from part where p_partkey < 60)"
@@ -406,6 +410,26 @@ def rewrite_terms(m: Model) -> DataFrame:
     return out.select("query_id", F.col("terms")[0].alias("original"), F.size(more).cast("long").alias("n_expansions"), F.array_join(F.array_sort(more), "|").alias("expansions"), "status")
 
 
+GRAPH_HITS = f"""{SYN}, {HYP}, ph as (select src p from syn union select dst from syn union select src from hyp union select dst from hyp), q as (select p_partkey query_id, 'find ' || p_name || ' and nothing' t from part),
+ starts as (select query_id, t, unnest(range(1, length(t) + 1)) start from q), cut as (select query_id, start, substring(t, start, n) p from starts, (select distinct cast(length(p) as bigint) n from ph) where start + n <= length(t) + 1),
+ hit as (select query_id, start, p, row_number() over (partition by query_id, start order by length(p) desc) r from cut join ph using (p))"""
+
+
+@query(f"with {GRAPH_HITS} select query_id, cast(start as integer) start, p phrase from hit where r = 1")
+def longest_phrase_match_all(m: Model) -> DataFrame:
+    """As `longest_phrase_match`, with every part a query."""
+    return Q.longest_matches(_part_queries(m.table("part")), Q.build(Q.page_edges(_graph_pages(m)))).select("query_id", "start", "phrase")
+
+
+@query(f"""with {GRAPH_HITS}, ex as (select distinct query_id, dst from (select query_id, p from hit where r = 1) h join (select src, dst from syn union select src, dst from hyp) e on e.src = h.p)
+ select query_id, t original, cast(coalesce(count(distinct dst), 0) as bigint) n_expansions, coalesce(string_agg(dst, '|' order by dst), '') expansions, case when count(dst) > 0 then 'applied' else 'fallback' end status from q left join ex using (query_id) group by query_id, t""")
+def rewrite_terms_all(m: Model) -> DataFrame:
+    """As `rewrite_terms`, with every part a query."""
+    out = Q.rewrite(_part_queries(m.table("part")), Q.build(Q.page_edges(_graph_pages(m))))
+    more = F.slice("terms", 2, 100)
+    return out.select("query_id", F.col("terms")[0].alias("original"), F.size(more).cast("long").alias("n_expansions"), F.array_join(F.array_sort(more), "|").alias("expansions"), "status")
+
+
 @query(f"""with recursive {SYN}, {HYP}, e as (select src, dst from syn union select src, dst from hyp), p as (select ['red widget'] nodes union all select list_append(nodes, dst) from p join e on e.src = nodes[-1] where not list_contains(nodes, dst) and len(nodes) <= 3)
  select array_to_string(nodes, '>') path from p where len(nodes) > 1""")
 def traverse_paths(m: Model) -> DataFrame:
