@@ -740,6 +740,13 @@ def deterministic_embedding(m: Model) -> DataFrame:
     return m.table("part").where("p_partkey < 200").select(F.col("p_partkey").alias("id"), vec.alias("v")).select("id", F.round(S.norm(F.col("v")), 9).alias("length"))
 
 
+@query(None)
+def deterministic_embedding_all(m: Model) -> DataFrame:
+    """The vectors of every part, with their lengths. No SQL: DuckDB doesn't have the hash."""
+    vec = S.hashed_embedding(F.col("p_name"), 16)
+    return m.table("part").select(F.col("p_partkey").alias("id"), vec.alias("v")).select("id", F.round(S.norm(F.col("v")), 9).alias("length"), F.transform("v", lambda x: F.round(x, 9)).alias("vec"))
+
+
 @query(ctes("pages") + " select page_id, title from pages where status = 'accepted' and (contains(lower(title), 'the') or contains(lower(content), 'the')) and domain = 'en' order by page_id limit 25")
 def legacy_search(m: Model) -> DataFrame:
     """One term, one domain, in page order."""
