@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -11,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word contracts: the ASCII set of bytes.split().
@@ -23,11 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none (tests)."""
+    """The folder that driver and executors share, as the session names it.
+
+    Only a session on this machine alone (tests) may go without one: it gets a
+    temporary folder. On a cluster a missing setting is an error, since every
+    machine would write to a folder of its own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else f"file://{tempfile.mkdtemp(prefix='quillon-')}"
+        if found.isDefined():
+            base = found.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            base = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -36,11 +47,44 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, path: str, *measures: Column) -> tuple[DataFrame, dict]:
+    """df written and read back, and aggregates of its rows taken while it is written."""
+    seen = Observation()
+    (df.observe(seen, *measures) if measures else df).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get if measures else {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage with a written table, which outlives any executor."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, scratch(df.sparkSession, name))[0]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete written tables that nothing will read any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _straight_scan(df: DataFrame) -> bool:
+    """Whether df is nothing but columns and rows picked from one set of Parquet files."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and "HadoopFsRelation" in plan.relation().getClass().getName() and plan.relation().fileFormat().toString() == "Parquet"
+
+
+def placed(df: DataFrame, file: str = "q_file", row: str = "q_row") -> DataFrame:
+    """df with two long columns that name each row by its file and its place in it.
+
+    The name is the same in every scan, however the files are split, so that
+    several passes may be joined on it. Rows that don't come straight from
+    Parquet files are written first.
+    """
+    if not _straight_scan(df):
+        df = materialize(df, "placed")
+    meta = df.metadataColumn("_metadata")
+    return df.select("*", F.xxhash64(meta["file_path"]).alias(file), meta["row_index"].alias(row))
 
 
 def width(spark: SparkSession) -> int:
@@ -166,33 +210,75 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(starts, bounds))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of every node but the smallest ones, for a task's edges."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        label = label[label]
+        if (label == before).all():
+            break
+    far = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[far], nodes[label[far]]
+
+
+def _forests(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """Edges (u, v) replaced by a spanning forest of stars, `most` edges of a task at a time: connects the same nodes with fewer edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us, vs, held = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            u, v = forest(np.concatenate(us), np.concatenate(vs))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for batch in batches:
+            us.append(batch.column("u").to_numpy()), vs.append(batch.column("v").to_numpy())
+            held += batch.num_rows
+            if held >= most:
+                yield out()
+                us, vs, held = [], [], 0
+        if held:
+            yield out()
+
+    return in_arrow(edges.select("u", "v"), run, "u long, v long")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of the graph reaches.
 
-    Alternating large-star and small-star steps on the edge table; each step's
-    table is written, so no lineage grows and a lost executor costs one step.
-    Skew: a step's rows never exceed the edges, and the minimum of a node's
-    neighbours is a partial aggregate.
+    A round has two steps, until neither changes anything. First all edges of a
+    node meet where it is the larger end, and each task replaces its edges by a
+    spanning forest of stars towards the smallest nodes. Then every edge whose
+    smaller end has itself a smaller parent moves to that parent. Both keep what is
+    connected connected, and a sum of labels falls with every change, so the
+    rounds end; there is no limit on their number.
+
+    Each step's table is written: no lineage grows, and a lost executor costs one
+    step. A node with very many neighbours is not gathered: at its larger end a
+    node has a few parents only, and the second step is a join between plain
+    exchanges, of which Spark splits the skewed side.
     """
     spark = edges.sparkSession
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    now = materialize(now, "edges")
-    before = None
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select("u", F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        now = materialize(small, "edges")
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
+    start = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v")
+    path = scratch(spark, "edges")
+    now, seen = stored(_forests(start), path, F.count(F.lit(1)).alias("n"))
+    while seen["n"]:
+        stars, parents, moved = (scratch(spark, x) for x in ("stars", "parents", "edges"))
+        met, had = stored(_forests(now.repartition(width(spark), "u")), stars, F.count(F.lit(1)).alias("n"))
+        least, one = stored(met.groupBy(F.col("u").alias("p")).agg(F.min("v").alias("m")), parents, F.count(F.lit(1)).alias("n"))
+        step = met.join(least, F.col("v") == F.col("p"), "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved"))
+        after, seen = stored(step, moved, F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("moved"), 1)).alias("moved"))
+        discard(spark, path, stars, parents)
+        now, path = after, moved
+        if had["n"] == one["n"] and not seen["moved"]:  # one parent each, and that a root
             break
-        before = state
-    else:
-        raise RuntimeError("components did not settle")
-    return now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select("v", F.col("v").alias("component")).distinct().toDF("node", "component"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def aside(df: DataFrame, *needed: str) -> DataFrame:
@@ -209,3 +295,9 @@ def aside(df: DataFrame, *needed: str) -> DataFrame:
 def back(out: DataFrame, renamed: DataFrame, df: DataFrame) -> DataFrame:
     """The columns of `renamed` out of `out`, under the names that they have in df."""
     return out.select(*renamed.columns).toDF(*df.columns)
+
+
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """df less the columns that bear one of the names: an operator's own columns replace them."""
+    stay = [i for i, c in enumerate(df.columns) if c not in names]
+    return df.toDF(*(f"_{i}" for i in range(len(df.columns)))).select(*(f"_{i}" for i in stay)).toDF(*(df.columns[i] for i in stay))

@@ -26,11 +26,14 @@ Equal sets are one class from the start: they travel once per task, and a third
 all rows being one text costs no more than one text.
 
 Scale: the triples travel as packed 6-byte words in binary rows; each part of
-them is sorted in numpy by one task, its size set by spark.sql.shuffle.partitions.
+them is sorted in numpy by one task. Their number follows the counted words of
+the corpus, so a part's size doesn't grow with it.
 
 Edge cases: null, empty and wordless texts have an empty set and link with
 nothing; fewer words than the shingle's length make one shingle; repeated ids are
-rows of one document each; null ids get no component; ties cannot arise.
+documents of their own; null ids get no component; ties cannot arise; other columns
+are ignored; an empty table gives no rows. A very long text is hashed in numpy
+with some 50 bytes of memory a byte, by one task.
 """
 
 from __future__ import annotations
@@ -41,10 +44,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import aside, back, components, in_arrow, map_batches, materialize, mix64, pieces, table, text_slices, width, word_hashes
+from .common import aside, components, in_arrow, map_batches, materialize, mix64, pieces, placed, scratch, stored, table, text_slices, width, word_hashes
 
 U = np.uint64
 #: Odd multipliers of a word's place in its shingle.
@@ -114,7 +116,7 @@ def block_words(s: np.ndarray, band: int, n_blocks: int) -> np.ndarray:
 
 
 def document_classes(documents: DataFrame, size: int) -> DataFrame:
-    """doc_id, n and k1, k2 (class key)."""
+    """doc_id, q_file, q_row (the row's place), n and k1, k2 (class key). documents: placed."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j in pieces(batch.column("text"), 1 << 20):
@@ -122,9 +124,10 @@ def document_classes(documents: DataFrame, size: int) -> DataFrame:
             for s in shingle_sets(list(text_slices(batch.column("text").slice(i, j - i))), size):
                 rows.append((len(s), *class_key(s)))
             n, k1, k2 = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], ["doc_id", "n", "k1", "k2"])
+            own = ["doc_id", "q_file", "q_row"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(i, j - i) for x in own), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], [*own, "n", "k1", "k2"])
 
-    return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, k1 long, k2 long")
+    return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "q_file", "q_row", "text"), run, "doc_id long, q_file long, q_row long, n long, k1 long, k2 long")
 
 
 def pack(entries: list[tuple[int, int, int, int, int]], words: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
@@ -367,14 +370,15 @@ def similar(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     return pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where(both * bands.den >= either * bands.num).select("a", "b")
 
 
-def jaccard_components(documents: DataFrame, size: int = 5, num: int = 75, den: int = 100, hot: int = 16) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
+def linked_rows(documents: DataFrame, size: int = 5, num: int = 75, den: int = 100, hot: int = 16, part_words: int = 1 << 21) -> DataFrame:
+    """doc_id, q_file, q_row (the row's place), n and component (the smallest doc_id that links reach) of every row. documents: placed."""
     spark = documents.sparkSession
     bands = Bands(num, den)
-    docs = materialize(document_classes(documents, size), "classes")
+    docs, seen = stored(document_classes(documents, size), scratch(spark, "classes"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
     # written, so that the last join is between plain exchanges and the copies of one set can be split over tasks
-    classes = materialize(docs.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
-    parts = max(8, width(spark) // 2)
+    first = F.min(F.struct("doc_id", "q_file", "q_row"))
+    classes = materialize(docs.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(first.alias("first")).select("k1", "k2", "first.*").withColumnRenamed("doc_id", "rep"), "reps")
+    parts = max(8, width(spark) // 2, -(-seen["words"] // part_words))  # so many that a part's words fit a task whatever the input
     found = materialize(candidates(packed_words(documents, size, bands, parts), parts, hot, bands), "found")
 
     # A document with u non-empty blocks, h of them hot, shares u - h - bound cold ones with each partner, or more.
@@ -384,7 +388,7 @@ def jaccard_components(documents: DataFrame, size: int = 5, num: int = 75, den:
     partner = F.when(n < F.expr("shiftleft(2L, band)"), F.expr(f"na * {den} div {num}")).otherwise(F.expr("shiftleft(2L, band) - 1"))
     members = found.where("kind = 2").select(F.col("a1").alias("k1"), F.col("a2").alias("k2"), "band", "triple", "na", "ua")
     heat = materialize(members.groupBy("k1", "k2", "band").agg(F.count("*").alias("hot"), F.first("na").alias("na"), F.first("ua").alias("ua")), "heat")
-    needy = heat.where(F.col("ua") - F.col("hot") <= bound(n, partner)).join(classes, ["k1", "k2"]).select("k1", "k2", "band", "rep", F.col("na").alias("n"))
+    needy = heat.where(F.col("ua") - F.col("hot") <= bound(n, partner)).join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("k1", "k2", "band", "rep", F.col("na").alias("n"))
     members = materialize(members.select("k1", "k2", "band", "triple").join(needy, ["k1", "k2", "band"]), "members")
 
     pairs = found.where("kind = 0").groupBy("a1", "a2", "b1", "b2", "band").agg(F.sum("shared").alias("shared"), *[F.first(c).alias(c) for c in ("na", "ua", "nb", "ub")])
@@ -398,16 +402,13 @@ def jaccard_components(documents: DataFrame, size: int = 5, num: int = 75, den:
     pairs = materialize(pairs.unionByName(pivots).distinct(), "pairs")
 
     keys = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(pairs.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).unionByName(members.select("k1", "k2")).distinct()
-    reps = keys.join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
-    chosen = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep").dropDuplicates(["rep", "text"])
+    chosen = documents.select("q_file", "q_row", "text").join(keys.join(classes, ["k1", "k2"]), ["q_file", "q_row"])
 
     def expand(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j in pieces(batch.column("text"), 1 << 20):
             some = batch.slice(i, j - i)
             sets = shingle_sets(list(text_slices(some.column("text"))), size)
-            want = zip(some.column("k1").to_pylist(), some.column("k2").to_pylist(), strict=True)
-            mine = [k for k, (s, w) in enumerate(zip(sets, want, strict=True)) if class_key(s) == w]  # an id may have other rows
-            yield pa.RecordBatch.from_arrays([some.column(c).take(pa.array(mine, pa.int64())) for c in ("k1", "k2", "rep")] + [pa.array([sets[k].view(np.int64) for k in mine], pa.list_(pa.int64())), pa.array([bit_sketch(sets[k]) for k in mine], pa.binary())], ["k1", "k2", "rep", "s", "sketch"])
+            yield pa.RecordBatch.from_arrays([*map(some.column, ("k1", "k2", "rep")), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(map(bit_sketch, sets), pa.binary())], ["k1", "k2", "rep", "s", "sketch"])
 
     sets = materialize(map_batches(chosen.select("k1", "k2", "rep", "text"), expand, "k1 long, k2 long, rep long, s array<bigint>, sketch binary"), "sets")
     edges = materialize(similar(pairs, sets, bands), "links")
@@ -427,7 +428,13 @@ def jaccard_components(documents: DataFrame, size: int = 5, num: int = 75, den:
             reach = components(edges.unionByName(links))
 
     out = docs.join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left").join(reach, F.col("rep") == F.col("node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "q_file", "q_row", "n", F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component"))
+
+
+def jaccard_components(documents: DataFrame, **how) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
+    found = linked_rows(placed(documents.select("doc_id", "text")), **how)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,12 +442,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents that are the first of their component; of equal rows, one; documents without words stay."""
-    safe = aside(documents, "doc_id", "text")
-    found = jaccard_components(safe).where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    equal = W.partitionBy("doc_id", "text").orderBy("text")
-    firsts = safe.join(found, "doc_id", "left_anti").withColumn("q_row", F.row_number().over(equal)).where("q_row = 1 or doc_id is null or text is null")
-    return back(firsts, safe, documents)
+    """The first row of each component, by doc_id and place; documents without words, and those without an id, stay."""
+    safe = placed(aside(documents, "doc_id", "text"))
+    rows = materialize(linked_rows(safe).where("n > 0 and doc_id is not null"), "linked")
+    firsts = materialize(rows.groupBy("component").agg(F.min(F.struct("doc_id", "q_file", "q_row")).alias("first")), "firsts")
+    gone = rows.join(firsts, "component").where(F.struct("doc_id", "q_file", "q_row") != F.col("first")).select("q_file", "q_row")
+    left = safe.join(materialize(gone, "gone"), ["q_file", "q_row"], "left_anti")
+    return left.select(*safe.columns[:-2]).toDF(*documents.columns)
 
 
 OP3_SQL = r"""
