@@ -18,8 +18,9 @@ is matches, contexts and counts. Contexts to be counted are broadcast up to
 `broadcast_rows`, else joined by shuffle.
 
 Edge cases: null and empty texts have no spans; private-use characters of the text count as any other
-character; repeated ids are rows of their own; ties in order go by kind; the
-input must be a table scan or a written table, since rows are numbered by place.
+character; repeated ids are rows of their own; ties in order go by kind; columns
+other than doc_id and text are not read; an empty table gives no rows. Very long
+texts are scanned whole, as one string.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, placed, table
 
 KINDS = ("email", "ip", "card", "phone")
 CUT, GAP, DOT = "", "", ""
@@ -39,7 +40,9 @@ IP = r"((?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++)"
 CARD = rf"((?<![0-9{GAP}])[0-9{GAP}]{{14,}}+)"
 PHONE = r"(\+[0-9][\x20().0-9\-]+[0-9])"
 #: Runs of seven or more digits with telephone-like separators, else words with a digit or an at sign.
-LIKE = rf"((?<![0-9A-Za-z])\(?[0-9][0-9().\x20\-]{{5,}}[0-9](?![0-9A-Za-z])|(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+)"
+#: A label's end (colon, equals sign, bracket) parts it from what follows, as white space does.
+ENDS = r":=(\["
+LIKE = rf"((?<![0-9A-Za-z])\(?[0-9][0-9().\x20\-]{{5,}}[0-9](?![0-9A-Za-z])|(?<![^{SPACE}{ENDS}])[^{SPACE}{ENDS}0-9@]*+[0-9@][^{SPACE}]*+)"
 
 
 def _pieces(text: Column, pattern: str) -> Column:
@@ -47,6 +50,13 @@ def _pieces(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, f"{CUT}$1{CUT}"), CUT, -1)
 
 
+def _spaced(text: Column) -> Column:
+    """Text whose words, and labels from what is glued to them, are parted by spaces alone."""
+    for mark in ":=([":
+        text = F.replace(text, F.lit(mark), F.lit(f"{mark} "))
+    return F.translate(text, "\t\n\x0b\f\r", " " * 5)
+
+
 def _digits(x: Column) -> Column:
     return F.length(F.regexp_replace(x, "[^0-9]", ""))
 
@@ -80,9 +90,10 @@ def matches(documents: DataFrame) -> DataFrame:
     kinds = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("pieces")) for k, c in each.items()]), lambda x: F.size(x["pieces"]) > 1)
     found = documents.select("row", F.explode(kinds).alias("x")).select("row", "x.kind", F.posexplode("x.pieces").alias("i", "piece"))
     match = F.col("i") % 2 == 1
-    near = F.split(F.lower(F.rtrim(F.regexp_replace(F.substring("piece", -80, 80), f"[{SPACE}]+", " "))), " ")
-    size = F.size(near)
-    found = found.select("row", "kind", "i", F.length("piece").alias("size"), F.when(match, F.translate("piece", GAP + DOT, " .")).alias("value"), F.when(~match, F.element_at(near, -1)).alias("l1"), F.when(~match & (size > 2), F.concat_ws(" ", F.element_at(near, -2), F.element_at(near, -1))).alias("l2"))
+    before = F.when(~match, _spaced(F.col("piece")))
+    found = found.select("row", "kind", "i", F.length("piece").alias("size"), F.when(match, F.translate("piece", GAP + DOT, " .")).alias("value"), F.rtrim(before).alias("before"))
+    found = found.withColumn("l1", F.substring_index("before", " ", -1)).withColumn("rest", F.rtrim(F.expr("substring(before, 1, length(before) - length(l1))")))
+    found = found.withColumn("l0", F.substring_index("rest", " ", -1)).select("row", "kind", "i", "size", "value", F.lower("l1").alias("l1"), F.when(F.col("l0") != "", F.lower(F.concat_ws(" ", "l0", "l1"))).alias("l2"))
     w = W.partitionBy("row", "kind").orderBy("i")
     end = F.sum("size").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
     found = found.select("row", "kind", "i", "value", end.alias("end"), (end - F.col("size")).alias("start"), F.lag("l1").over(w).alias("l1"), F.lag("l2").over(w).alias("l2"))
@@ -103,7 +114,7 @@ def _valid() -> Column:
 
 def context_counts(documents: DataFrame, contexts: DataFrame, broadcast_rows: int = 50_000) -> DataFrame:
     """(context, total): how often each of the contexts stands in the corpus."""
-    words = F.filter(F.split(F.lower("text"), f"[{SPACE}]+"), lambda x: x != "")
+    words = F.filter(F.split(_spaced(F.lower("text")), " "), lambda x: x != "")
     pairs = F.zip_with(F.concat(F.array(F.lit("")), F.col("w")), "w", lambda a, b: F.concat(a, F.lit(" "), b))
     grams = documents.where("text is not null").select(words.alias("w")).select(F.explode(F.concat("w", pairs)).alias("context"))
     few = contexts.count() <= broadcast_rows
@@ -145,7 +156,8 @@ def personal_spans(documents: DataFrame, rounds: int = 3, least_support: int = 3
 
 def find_personal_data(documents: DataFrame) -> DataFrame:
     """doc_id, row and spans: array of (start, order, end, kind, base), by start, then kind."""
-    numbered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
+    numbered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    numbered = placed(numbered).select("doc_id", "text", F.struct("q_file", "q_row").alias("row"))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     spans = personal_spans(numbered.select("row", "text")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), order.alias("order"), F.col("end").cast("long").alias("end"), "kind", "base"))).alias("spans"))
     return numbered.select("row", "doc_id").join(spans, "row", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,order:bigint,end:bigint,kind:string,base:boolean>>")))
