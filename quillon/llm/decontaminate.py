@@ -12,7 +12,9 @@ executors in blocks of at most `block_bytes`, each a pass over the training text
 
 Edge cases: null or wordless texts have no words and no hits; an item of fewer
 than `window` words is one window of its own length; repeated documents are
-judged each by itself; repeated item ids count once; other columns are ignored.
+judged each by itself; repeated item ids count once; other columns are ignored;
+an empty training or test table gives no rows or no hits. A very long text is a
+shard of its own.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, back, map_batches, pieces, table, text_slices
+from .common import aside, back, map_batches, materialize, pieces, placed, table, text_slices
 
 #: Lower-cases A-Z and turns every other ASCII byte that is no digit or letter into a space.
 WORD_BYTES = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -144,7 +146,7 @@ def _shards(test: TestSet, batch: pa.RecordBatch) -> Iterator[tuple[list, np.nda
 def matches(documents: DataFrame, benchmark: DataFrame, window: int = 8, block_bytes: int = 16 << 20) -> DataFrame:
     """Longest verbatim matches and where they are: one row per maximal run of windows."""
     out = None
-    for block in _blocks(benchmark, block_bytes):
+    for block in _blocks(benchmark, block_bytes):  # each block's matches are written before the next is held
         shared = documents.sparkSession.sparkContext.broadcast(TestSet(block, window))
 
         def find(batch: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
@@ -154,7 +156,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, window: int = 8, block_b
                 d = np.searchsorted(start, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array([docs[x] for x in d], pa.int64()), pa.array(n[d]), pa.array(test.item[head]), pa.array(test.start[head]), pa.array(at - start[d]), pa.array(size)], ["doc_id", "n_words", "item_id", "item_start", "doc_start", "n_match"])
 
-        part = map_batches(documents.select("doc_id", "text"), find, MATCHES)
+        part = materialize(map_batches(documents.select("doc_id", "text"), find, MATCHES), "matches")
+        shared.unpersist()
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -170,15 +173,17 @@ def judge(documents: DataFrame, benchmark: DataFrame, window: int = 8, block_byt
     first, second = next(blocks), next(blocks, None)
     if second is None:
         return _judge_once(documents, names, documents.sparkSession.sparkContext.broadcast(TestSet(first, window)))
-    numbered = documents.withColumn("q_row", F.monotonically_increasing_id())
+    numbered, place = placed(documents), ["q_file", "q_row"]
     hits = None
-    for block in itertools.chain([first, second], blocks):
-        part = _hits(numbered, documents.sparkSession.sparkContext.broadcast(TestSet(block, window)))
+    for block in itertools.chain([first, second], blocks):  # one block of items at a time is held and shared
+        shared = documents.sparkSession.sparkContext.broadcast(TestSet(block, window))
+        part = materialize(_hits(numbered, shared), "hits")
+        shared.unpersist()
         hits = part if hits is None else hits.unionByName(part)
-    hits = hits.groupBy("q_row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    hits = hits.groupBy(*place).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     none = F.array().cast("array<bigint>")
     items = F.coalesce("items", none)
-    joined = _counted(numbered, [*names, "q_row"]).join(hits, "q_row", "left")
+    joined = _counted(numbered, [*names, *place]).join(hits, place, "left")
     ids = F.array_join(F.array_sort(F.transform(items, lambda x: x.cast("string"))), ",")
     return joined.select(*names, "q_n_words", F.size(F.coalesce("places", none)).cast("long").alias("q_n_hit"), F.size(items).cast("long").alias("q_n_items"), F.sha2(ids.cast("binary"), 256).alias("q_items_sha256"))
 
@@ -196,21 +201,22 @@ def _counted(documents: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _hits(numbered: DataFrame, shared) -> DataFrame:
-    """(q_row, places of hit words, items) of the documents that a block of test items hits."""
+    """(q_file, q_row, places of hit words, items) of the documents that a block of test items hits."""
 
     def find(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         test = shared.value
-        rows = batch.rename_columns([{"q_row": "doc_id"}.get(c, c) for c in batch.schema.names])
-        for docs, _, start, found, where in _shards(test, rows):
+        files, rows = batch.column("q_file").to_pylist(), batch.column("q_row").to_pylist()
+        own = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column("text")], ["doc_id", "text"])
+        for docs, _, start, found, where in _shards(test, own):
             out: dict[int, tuple[set, set]] = {}
             for d, item, at, size in zip((np.searchsorted(start, where, "right") - 1).tolist(), test.item[found].tolist(), where.tolist(), test.size[found].tolist(), strict=True):
                 places, items = out.setdefault(d, (set(), set()))
                 places.update(range(at - int(start[d]), at - int(start[d]) + size))
                 items.add(item)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([docs[d] for d in out], pa.int64()), pa.array([list(p) for p, _ in out.values()], pa.list_(pa.int64())), pa.array([list(i) for _, i in out.values()], pa.list_(pa.int64()))], ["q_row", "places", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array([files[docs[d]] for d in out], pa.int64()), pa.array([rows[docs[d]] for d in out], pa.int64()), pa.array([list(p) for p, _ in out.values()], pa.list_(pa.int64())), pa.array([list(i) for _, i in out.values()], pa.list_(pa.int64()))], ["q_file", "q_row", "places", "items"])
 
-    return map_batches(numbered.select("q_row", "text"), find, "q_row bigint, places array<bigint>, items array<bigint>")
+    return map_batches(numbered.select("q_file", "q_row", "text"), find, "q_file bigint, q_row bigint, places array<bigint>, items array<bigint>")
 
 
 def _judge_once(documents: DataFrame, names: list[str], shared) -> DataFrame:
@@ -238,8 +244,13 @@ def _judge_once(documents: DataFrame, names: list[str], shared) -> DataFrame:
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 1) -> DataFrame:
-    """The documents in which fewer than `min_items` test items have a window, with their own columns."""
+    """The documents in which fewer than `min_items` test items have a window, with their own columns.
+
+    Items of fewer than `window` words take no part: a common word or two would remove clean documents.
+    """
     safe = aside(documents, "doc_id", "text")
+    spaced = F.translate("text", "".join(map(chr, range(128))).translate({ord(c): None for c in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}), " " * 66)
+    benchmark = benchmark.where(F.size(F.filter(F.split(spaced, " "), lambda x: x != "")) >= window)
     return back(judge(safe, benchmark, window, keep_columns=True).where(F.col("q_n_items") < min_items), safe, documents)
 
 
