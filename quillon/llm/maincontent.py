@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table
+from .common import aside, map_batches, table, without
 
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -302,15 +302,17 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """All columns of `pages` and q_text, its main text."""
-    names = pages.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
+    """All columns of `pages` and q_text, its main text, which replaces a column of this name."""
+    own = without(pages, ["q_text"])
+    safe = aside(own, "html")
+    names = safe.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in safe.schema)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         text = [main_text(x.as_py()) for x in batch.column("html")]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*names, "q_text"])
 
-    return map_batches(pages, run, f"{schema}, q_text string")
+    return map_batches(safe, run, f"{schema}, q_text string").toDF(*own.columns, "q_text")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

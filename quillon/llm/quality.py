@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import aside, back, map_batches, table, text_slices
+from .common import aside, back, map_batches, table, text_slices, trim, without
 
 SIZE = 1 << 11  #: slot 0 is kept for repeats
 #: Byte pair -> feature, by a multiplicative hash.
@@ -115,15 +115,15 @@ def fit(x: np.ndarray, good: np.ndarray, ridge: float = 1e-4, rounds: int = 400)
     """Logistic weights (the last is the bias) on soft labels, classes weighing alike, by accelerated gradient steps."""
     if not len(x):
         return np.zeros(SIZE + 1)
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     each = good / max(good.sum(), 1e-9) + (1 - good) / max((1 - good).sum(), 1e-9)
     each /= each.sum()
-    w = before = np.zeros(x.shape[1])
+    w = before = np.zeros(x.shape[1] + 1)
     step = 1.3  # rows have length sqrt(3) at most, so the slope's rate of change is under 1
     for t in range(rounds):
         ahead = w + t / (t + 3) * (w - before)
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead.astype(x.dtype), -500, 500).astype(float)))
-        slope = x.T @ (each * (p - good)).astype(x.dtype) + ridge * np.append(ahead[:-1], 0)
+        p = 1 / (1 + np.exp(-np.clip(x @ ahead[:-1].astype(x.dtype) + ahead[-1], -500, 500).astype(float)))
+        off = each * (p - good)
+        slope = np.append(off.astype(x.dtype) @ x + ridge * ahead[:-1], off.sum())
         before, w = w, ahead - step * slope
     return w
 
@@ -150,17 +150,26 @@ def model(documents: DataFrame, fit_rows: int = 4096) -> tuple[np.ndarray, dict[
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if part < 1:
         chosen = chosen.where(F.xxhash64(F.lit(29), "doc_id", "text") < F.lit(int(-(1 << 63) + part * (1 << 64))))
-    rows = sorted(map_batches(chosen.where("length(text) > 0").dropDuplicates(["doc_id", "text"]), look, "doc_id long, good double, x binary").collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.x))
-    x = np.array([np.frombuffer(r.x, "<f4") for r in rows], np.float32).reshape(len(rows), SIZE)
-    weights = fit(x, np.array([r.good for r in rows]))
+    seen = map_batches(chosen.where("length(text) > 0").dropDuplicates(["doc_id", "text"]), look, "doc_id long, good double, x binary").toArrow().combine_chunks()
+    seen = seen.sort_by([("doc_id", "ascending"), ("x", "ascending")]).combine_chunks().to_batches()
+    weights = np.zeros(SIZE + 1)
+    if seen:
+        x = np.frombuffer(seen[0].column("x").buffers()[2], "<f4", seen[0].num_rows * SIZE).reshape(-1, SIZE)  # the column's own memory, not a copy
+        weights = fit(x, seen[0].column("good").to_numpy())
+        del x
+    del seen
+    trim()
     return weights, posterior, {"share": share, "accuracy": dict(zip(LABELLERS, accuracy.tolist(), strict=True))}
 
 
 def classify(documents: DataFrame, fit_rows: int = 4096, keep_from: float = 0.3) -> DataFrame:
-    """All columns of `documents`, q_posterior (of its votes), q_score (the scorer's probability of good) and q_keep."""
-    weights, posterior, _ = model(documents, fit_rows)
-    names = documents.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
+    """All columns of `documents`, q_posterior (of its votes), q_score (the scorer's probability of good) and q_keep, which replace columns of these names."""
+    added = ["q_posterior", "q_score", "q_keep"]
+    own = without(documents, added)
+    safe = aside(own, "doc_id", "text")
+    weights, posterior, _ = model(safe, fit_rows)
+    names = safe.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in safe.schema)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         good, score, keep = [], [], []
@@ -169,9 +178,9 @@ def classify(documents: DataFrame, fit_rows: int = 4096, keep_from: float = 0.3)
             words = bool(t and t.split(None, 1))
             score.append(float(1 / (1 + np.exp(-np.clip(hashed(t) @ weights[:-1] + weights[-1], -500, 500)))) if words else 0.0)
             keep.append(words and score[-1] >= keep_from)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(good, pa.float64()), pa.array(score, pa.float64()), pa.array(keep, pa.bool_())], [*names, "q_posterior", "q_score", "q_keep"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(good, pa.float64()), pa.array(score, pa.float64()), pa.array(keep, pa.bool_())], [*names, *added])
 
-    return map_batches(documents, run, f"{schema}, q_posterior double, q_score double, q_keep boolean")
+    return map_batches(safe, run, f"{schema}, q_posterior double, q_score double, q_keep boolean").toDF(*own.columns, *added)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
