@@ -42,12 +42,12 @@ def test_warc_roundtrip(spark, tmp_path):
     whole = warc.assemble(warc.read_archives(spark, str(tmp_path / "w"))).collect()
     assert len(whole) == 8
     for r in whole:
-        page = r.metadata.page_id
+        page = r.metadata[0].page_id
         html = next(h or "" for p, _, h in rows if p == page).encode()
         assert r.response.payload_bytes == len(html) and r.response.payload_digest == hashlib.sha1(html).hexdigest()
-        assert r.request.payload.startswith(b"GET ")
+        assert len(r.requests) == len(r.metadata) == 1 and r.requests[0].payload.startswith(b"GET ")
         assert r.response.payload == (b"" if r.record_type == "revisit" else html)
-    kinds = Counter((r.metadata.page_id, r.record_type, r.refers_to_page) for r in whole)
+    kinds = Counter((r.metadata[0].page_id, r.record_type, r.refers_to_page) for r in whole)
     assert kinds == Counter([(1, "revisit", 7), (2, "revisit", 7), (3, "response", None), (4, "response", None), (5, "response", None), (6, "response", None), (7, "response", None), (7, "revisit", 7)])
 
 
@@ -174,7 +174,7 @@ def test_components(spark):
 # --- long repeats ------------------------------------------------------------
 
 
-def brute_repeats(texts, length):
+def brute_repeats(texts, length, least=256):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(t[s : s + length] for t in raw for s in range(len(t) - length + 1))
     out = []
@@ -185,34 +185,34 @@ def brute_repeats(texts, length):
                 gone[s : s + length] = [True] * length
         runs = sum(g and not p for g, p in zip(gone, [False, *gone], strict=False))
         out.append((len(t), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest()))
-    return Counter(out)
+    if length == least:
+        return [x[1] for x in out]
+    return Counter((*x, n) for x, n in zip(out, brute_repeats(texts, least), strict=True))
 
 
-@pytest.mark.parametrize("strings", [400_000, 300])
-def test_repeats_brute_force(spark, tmp_path, monkeypatch, strings):
+@pytest.mark.parametrize(("strings", "hot"), [(400_000, 2000), (300, 2)])
+def test_repeats_brute_force(spark, tmp_path, monkeypatch, strings, hot):
     monkeypatch.setattr(suffixdedup, "STRINGS", strings)
+    monkeypatch.setattr(suffixdedup, "HOT", hot)
     rng = random.Random(7)
     passages = [prose(rng, 90) for _ in range(4)]
     texts = [prose(rng, rng.randrange(200)) for _ in range(12)]
     texts += [f"{prose(rng, 30)} {p[rng.randrange(60):len(p) - rng.randrange(60)]} {prose(rng, 20)}" for p in passages for _ in range(4)]
     texts += ["ab" * 600, "a" * 900, "Zu " * 300, texts[0] * 3, texts[3], None, "", "ü" * 250, passages[0][:399], passages[0][:400]]
     df = documents(spark, texts, tmp=tmp_path / "d")
-    got = Counter((r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in suffixdedup.remove_repeats(df).collect())
+    got = Counter((r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256, r.n_repeated) for r in suffixdedup.remove_repeats(df).collect())
     assert got == brute_repeats(texts, 400)
 
 
 def test_merge_equals_sorting():
     rng = np.random.default_rng(4)
     symbols = rng.integers(1, 4, (60, 4)).astype(np.int32)
-    a, b = suffixdedup.transform(symbols[:25]), suffixdedup.transform(symbols[25:])
-    z, common = suffixdedup.merge(a[0], b[0], 25, 35, 4)
-    string = np.empty(len(z), int)
-    at = np.empty(len(z), int)
-    string[~z], string[z] = a[1], b[1] + 25
-    at[~z], at[z] = a[2], b[2]
-    suffixes = [tuple(symbols[s][k:]) for s, k in zip(string, at, strict=True)]
+    a, _ = suffixdedup.merge(suffixdedup.transform(symbols[:15], 0), suffixdedup.transform(symbols[15:25], 15), 4)
+    whole, common = suffixdedup.merge(a, suffixdedup.transform(symbols[25:], 25), 4)
+    suffixes = [tuple(symbols[s][k:]) for s, k in zip(whole.string, whole.at, strict=True)]
     assert [x[:4] for x in suffixes] == sorted(x[:4] for x in suffixes)
-    for i in range(1, len(z)):
+    assert [symbols[s][k - 1] if k else 0 for s, k in zip(whole.string, whole.at, strict=True)] == whole.symbols.tolist()
+    for i in range(1, len(suffixes)):
         x, y = suffixes[i - 1], suffixes[i]
         same = next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
         assert common[i] == same
