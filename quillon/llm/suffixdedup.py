@@ -51,7 +51,7 @@ from .common import Rolling, in_arrow, map_batches, materialize, mix64, placed,
 
 U = np.uint64
 GRAM, CHUNK = 24, 96
-FIRST, MORE = 4, 2  #: symbols of the first `least` bytes, and of the rest
+FIRST, MORE = 2, 1  #: symbols of the first `least` bytes, and of the rest
 SHARDS = 2
 STRINGS = 250_000  #: strings merged at a time
 HOT = 2000  #: occurrences of a core from which its offsets are dealt to more tasks
