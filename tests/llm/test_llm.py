@@ -343,6 +343,50 @@ def test_main_text_whole_table(spark):
         assert maincontent.main_text(r.html) == "\n\n".join(x for x in parts if x)
 
 
+def article_of(page):
+    import html
+
+    article = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
+    parts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", x))).strip() for x in re.split(r"</?(?:p|h1)>", article)]
+    return "\n\n".join(x for x in parts if x)
+
+
+def test_main_text_without_names(spark):
+    """The classifier carries over to pages that name none of their parts, and the cut does the rest."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    table = spark.createDataFrame([(i, h) for i, h in enumerate(pages)], "page_id long, html string")
+    weights = maincontent.fitted(table)
+    assert weights != tuple(maincontent.PRIOR.values())
+    strip = lambda h: re.sub(r'\s(class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|main|nav|footer|header|aside)\b", r"<\1div", h))
+    same = [maincontent.main_text(strip(h), weights) == article_of(h) for h in pages]
+    assert sum(same) >= 0.98 * len(same)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # a linked word amid paragraphs is content, a plain sentence amid linked ones is not
+        ("<div><h2>On rivers</h2><p>{0}</p><p><a href=x>More</a></p><p>{0}</p></div>", "On rivers\n\n{0}\n\nMore\n\n{0}"),
+        ("<div><p>{0}</p><p>{0}</p><p>{0}</p></div><div><p><a>One</a></p><p><a>Two</a></p><p>Three is a plain sentence here.</p><p><a>Four</a></p><p><a>Five</a></p></div>", "{0}\n\n{0}\n\n{0}"),
+    ],
+)
+def test_cut_against_sign(page, text):
+    river = "The river rises in the hills and runs for many miles before it comes to the sea, past towns and mills."
+    found = maincontent.blocks(page.format(river))
+    labels = maincontent.content(found)
+    signs = [maincontent.score(f, tuple(maincontent.PRIOR.values())) > 0 for f in maincontent.features(found)]
+    assert sum(a != b for a, b in zip(labels, signs, strict=True)) == 1
+    assert maincontent.main_text(page.format(river)) == text.format(river)
+
+
+def test_extract_edges(spark):
+    rows = [(1, "u", None, "x"), (2, "u", "", "x"), (2, "u", "<article><p>Text of the page.</p></article>", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, q_text string")
+    out = maincontent.extract(df)
+    assert out.columns == ["page_id", "url", "html", "q_text"] and sorted(r.q_text for r in out.collect()) == ["", "", "Text of the page."]
+    assert maincontent.extract(df.where("page_id > 5")).count() == 0
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(60):
