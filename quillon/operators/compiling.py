@@ -66,16 +66,23 @@ def admit(sources: DataFrame, heads: DataFrame, pages: DataFrame, tasks: DataFra
     return joined.select("entity_id", "source_revision", decision.alias("admission"))
 
 
-def claim(tasks: DataFrame, now: int, most_tasks: int, run_budget: int, retries: int = 3, shards: list[str] | None = None) -> DataFrame:
-    """The longest prefix of due tasks, by (next_attempt_at, task_id), whose running cost fits the budget; with their lease's end.
+def claim(tasks: DataFrame, now: int, most_tasks: int, run_budget: int, retries: int = 3, shards: list[str] | None = None, task_budget: int | None = None, day_budget: int | None = None, day_used: int = 0) -> DataFrame:
+    """The longest prefix of due tasks, by (next_attempt_at, task_id), in which every task fits three budgets; with their lease's end.
 
-    A queue is claimed per shard (a domain): the order and the budget are the shard's.
+    A task fits if what it has reserved before and its cost stay within the task's budget,
+    the running cost within the run's, and that with what the UTC day has used within the day's.
+    The first that doesn't fit ends the claim. A queue is claimed per shard (a domain): the order
+    and the budgets are the shard's. tasks may have a column `reserved`.
     """
     keys = shards or ["domain"]
     due = tasks.where((F.col("status") == "pending") & (F.col("next_attempt_at") <= now) & (F.col("retry_count") < retries))
     w = W.partitionBy(*keys).orderBy("next_attempt_at", "task_id")
-    seen = due.withColumn("running", F.sum("cost").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("place", F.row_number().over(w))
-    return seen.where((F.col("running") <= run_budget) & (F.col("place") <= most_tasks)).select(*keys, "task_id", "cost", "running", F.lit(now + LEASE_SECONDS).alias("lease_until"))
+    so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    most = run_budget if day_budget is None else min(run_budget, day_budget - day_used)
+    reserved = F.coalesce("reserved", F.lit(0)) if "reserved" in tasks.columns else F.lit(0)
+    own = F.lit(True) if task_budget is None else reserved + F.col("cost") <= task_budget
+    seen = due.withColumns({"running": F.sum("cost").over(so_far), "place": F.row_number().over(w), "all_fit": F.min(own.cast("int")).over(so_far)})
+    return seen.where((F.col("running") <= most) & (F.col("place") <= most_tasks) & (F.col("all_fit") == 1)).select(*keys, "task_id", "cost", "running", F.lit(now + LEASE_SECONDS).alias("lease_until"))
 
 
 def check_refs(refs: DataFrame, units: DataFrame, sources: DataFrame) -> DataFrame:

@@ -73,3 +73,46 @@ def decide(reviews: DataFrame, decisions: DataFrame) -> DataFrame:
     """Reviews after decisions (review_id, decision approve or ignore): only pending ones change."""
     new = F.when(F.col("status") != "pending", F.col("status")).when(F.col("decision") == "approve", "approved").when(F.col("decision") == "ignore", "ignored").otherwise(F.col("status"))
     return reviews.join(decisions, "review_id", "left").withColumn("status", new).drop("decision")
+
+
+def approve(reviews: DataFrame, tasks: DataFrame, heads: DataFrame, admissions: DataFrame) -> DataFrame:
+    """review_id, status, compile_task_id, problem (why a review stays as it is) after every review is approved once.
+
+    Only pending reviews change. A query template or a compatibility conflict is
+    approved as such. A supplemental compile needs an admission that queues a task of its
+    own domain. A dead letter needs a dead task of its domain whose source is still its
+    head's and which is queued anew; a consistency conflict the same, dead or not, and it
+    becomes a supplemental compile besides (`conversions`).
+
+    reviews: review_id, domain, action, status, entity_id, task_id. tasks: task_id,
+    entity_id, task_status, source_hash. heads: entity_id, head_hash. admissions:
+    entity_id, admission, queued_task.
+    """
+    task = tasks.select("task_id", F.col("entity_id").alias("task_entity"), "task_status", "source_hash")
+    seen = reviews.join(task, "task_id", "left").withColumn("entity", F.coalesce("task_entity", "entity_id"))
+    seen = seen.join(heads.select(F.col("entity_id").alias("entity"), "head_hash"), "entity", "left").join(admissions.select(F.col("entity_id").alias("entity"), "admission", "queued_task"), "entity", "left")
+    action, no = F.col("action"), lambda c: ~F.coalesce(c, F.lit(False))
+    plain, again = action.isin("query_template", "compatibility_conflict"), action.isin("compile_dead_letter", "consistency_conflict")
+    queued = F.col("admission").isin("inserted", "queued", "queued_epoch")
+    problem = (
+        F.when(F.col("status") != "pending", "not_pending")
+        .when(~action.isin(*ACTIONS) | (action == "ignore"), "action")
+        .when(plain, None)
+        .when(again & F.col("task_status").isNull(), "task_missing")
+        .when((action == "compile_dead_letter") & no(F.col("task_status") == "dead"), "not_dead")
+        .when(no(F.split("entity", ":", 2)[0] == F.col("domain")), "domain")
+        .when(again & no(F.col("head_hash") == F.col("source_hash")), "head_moved")
+        .when(no(queued) | again & no(F.col("queued_task") == F.col("task_id")), "not_queued")
+    )
+    seen = seen.withColumn("problem", problem)
+    fine = F.col("problem").isNull()
+    return seen.select("review_id", F.when(fine, "approved").otherwise(F.col("status")).alias("status"), F.when(fine & ~plain, F.col("queued_task")).alias("compile_task_id"), "problem")
+
+
+def conversions(reviews: DataFrame, approved: DataFrame, tasks: DataFrame) -> DataFrame:
+    """domain, action, entity_id, status, compile_task_id: the supplemental compiles that approved consistency conflicts become, one per domain and entity, unless the queue has it."""
+    done = approved.where("status = 'approved' and problem is null").select("review_id", "compile_task_id")
+    new = reviews.where("action = 'consistency_conflict'").drop("entity_id").join(done, "review_id").join(tasks.select("task_id", "entity_id"), "task_id")
+    new = new.groupBy("domain", "entity_id").agg(F.min("compile_task_id").alias("compile_task_id"))
+    there = reviews.where("action = 'supplemental_compile'").select("domain", "entity_id").distinct()
+    return new.join(there, ["domain", "entity_id"], "left_anti").select("domain", F.lit("supplemental_compile").alias("action"), "entity_id", F.lit("approved").alias("status"), "compile_task_id")

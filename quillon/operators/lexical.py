@@ -1,16 +1,19 @@
 """Lexical retrieval: phrase match, BM25 over the whole accepted index, short terms.
 
-All terms of a request share two scans: one for the statistics (a single row of
-aggregates over every accepted page, before any scope), one for the scores.
+All terms of a request share one scan of the texts: statistics (over every accepted
+page, before any scope) are observed while the hits' frequencies are written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import occurrences
+from ..sources.shared import written
 
 K1, B, LEAST_IDF, GRAM = 1.2, 0.75, 1e-6, 3
 
@@ -24,18 +27,12 @@ def document_length() -> Column:
     return part("title") + part("content")
 
 
-def index_statistics(accepted: DataFrame, terms: list[str]) -> dict:
-    """n (rows), average length and rows per term, over the whole index."""
-    row = accepted.agg(F.count("*").alias("n"), F.avg(document_length()).alias("avgdl"), *[F.count(F.when(term_frequency(t) > 0, 1)).alias(f"df{i}") for i, t in enumerate(terms)]).first()
-    return {"n": row["n"], "avgdl": row["avgdl"] or 1.0, "df": [row[f"df{i}"] for i in range(len(terms))]}
-
-
-def bm25(term: str, df: int, stats: dict) -> Column:
-    """Score of one phrase; the inverse frequency is never below 1e-6."""
+def bm25(frequency: Column, length: Column, df: int, stats: dict) -> Column:
+    """Score of one phrase in an index of n rows of average length avgdl; the inverse frequency is never below 1e-6."""
     n = F.lit(float(stats["n"]))
     idf = F.log((n - df + 0.5) / (df + 0.5))
-    f = term_frequency(term).cast("double")
-    return F.when(idf <= 0, LEAST_IDF).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * document_length() / F.lit(float(stats["avgdl"]))))
+    f = frequency.cast("double")
+    return F.when(idf <= 0, LEAST_IDF).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.lit(float(stats["avgdl"] or 1.0))))
 
 
 def contains_term(term: str) -> Column:
@@ -43,22 +40,33 @@ def contains_term(term: str) -> Column:
     return F.contains(F.lower("title"), low) | F.contains(F.lower("content"), low)
 
 
-def lexical_hits(pages: DataFrame, terms: list[str], scope: Column | None = None) -> DataFrame:
-    """page_id, term, score of every accepted page in scope; terms under three characters match anywhere and score 1."""
-    accepted = pages.where("status = 'accepted'")
-    terms = terms or [""]
-    long = [t for t in dict.fromkeys(terms) if len(t) >= GRAM]
-    stats = index_statistics(accepted, long)
-    score = {t: bm25(t, df, stats) for t, df in zip(long, stats["df"], strict=True)}
-    seen = accepted if scope is None else accepted.where(scope)
-    each = F.array(*[F.struct(F.lit(t).alias("term"), F.when(contains_term(t), score[t] if t in score else F.lit(1.0)).alias("score")) for t in dict.fromkeys(terms)])
-    return seen.select("page_id", F.explode(F.filter(each, lambda x: x["score"].isNotNull())).alias("h")).select("page_id", "h.term", "h.score")
-
+def lexical_hits(pages: DataFrame, terms: list[str], scope: Column | None = None, within: DataFrame | None = None) -> DataFrame:
+    """page_id, term, score of every accepted page in scope (a predicate, and the page_ids of `within`); terms under three characters match anywhere and score 1.
 
-def lexical_topk(pages: DataFrame, terms: list[str], k: int, scope: Column | None = None, combine: str = "max") -> DataFrame:
+    The texts are read once: the index's statistics are taken of all pages while the hits' frequencies are written.
+    """
+    accepted = pages.where("status = 'accepted'")
+    terms = list(dict.fromkeys(terms or [""]))
+    long = [t for t in terms if len(t) >= GRAM]
+    short = [t for t in terms if len(t) < GRAM]
+    seen = accepted.withColumn("q_in", F.lit(True) if scope is None else F.coalesce(scope, F.lit(False)))
+    seen = seen.select("page_id", "q_in", document_length().alias("q_dl"), *[term_frequency(t).alias(f"q_f{i}") for i, t in enumerate(long)], *[contains_term(t).alias(f"q_s{i}") for i, t in enumerate(short)])
+    told = Observation()
+    seen = seen.observe(told, F.count(F.lit(1)).alias("n"), F.avg("q_dl").alias("avgdl"), *[F.count(F.when(F.col(f"q_f{i}") > 0, 1)).alias(f"df{i}") for i in range(len(long))])
+    hit = reduce(Column.__or__, [F.col(f"q_f{i}") > 0 for i in range(len(long))] + [F.col(f"q_s{i}") for i in range(len(short))])
+    hits = written(seen.where(F.col("q_in") & hit).drop("q_in"), "hits")
+    stats = {k: v or 0 for k, v in told.get.items()}
+    if within is not None:
+        hits = hits.join(within.select("page_id").distinct(), "page_id", "left_semi")
+    each = [F.struct(F.lit(t).alias("term"), F.when(F.col(f"q_f{i}") > 0, bm25(F.col(f"q_f{i}"), F.col("q_dl"), stats[f"df{i}"], stats)).alias("score")) for i, t in enumerate(long)]
+    each += [F.struct(F.lit(t).alias("term"), F.when(F.col(f"q_s{i}"), F.lit(1.0)).alias("score")) for i, t in enumerate(short)]
+    return hits.select("page_id", F.explode(F.filter(F.array(*each), lambda x: x["score"].isNotNull())).alias("h")).select("page_id", "h.term", "h.score")
+
+
+def lexical_topk(pages: DataFrame, terms: list[str], k: int, scope: Column | None = None, combine: str = "max", within: DataFrame | None = None) -> DataFrame:
     """Best k pages by their best term (max) or by all terms together (sum); ties to the smaller page."""
     best = {"max": F.max, "sum": F.sum}[combine]("score")
-    hits = lexical_hits(pages, terms, scope).groupBy("page_id").agg(F.round(best, 9).alias("score"))
+    hits = lexical_hits(pages, terms, scope, within).groupBy("page_id").agg(F.round(best, 9).alias("score"))
     return hits.orderBy(F.desc("score"), "page_id").limit(k)
 
 
@@ -73,19 +81,29 @@ def related_terms(title: str, aliases: list[str], budget: int = 256) -> list[str
     return out
 
 
-def batch_topk(pages: DataFrame, queries: DataFrame, k: int, most_queries: int = 100_000) -> DataFrame:
-    """query_id, rank, page_id, score: one phrase per query, all of them in one plan.
+def _grams(text: Column) -> Column:
+    """The distinct trigrams of a text."""
+    return F.when(F.length(text) >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substring(text, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+
+
+def batch_topk(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, page_id, score: one phrase per query, any number of queries, all of them in one plan.
 
-    queries: query_id, term (three or more characters that don't overlap themselves). The queries are broadcast, so their number is
-    checked first; split a larger set. Each page is folded once, then compared with every phrase.
+    queries: query_id, term (three or more characters that don't overlap themselves). Pages and phrases
+    meet by equality on each phrase's rarest trigram and are then compared; no phrase is compared with every page.
     """
-    if queries.count() > most_queries:
-        raise ValueError(f"over {most_queries} queries; run them in blocks")
     accepted = pages.where("status = 'accepted'").select("page_id", document_length().alias("dl"), F.lower("title").alias("t"), F.lower("content").alias("c"))
     stats = accepted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    q = F.broadcast(queries.select("query_id", F.lower("term").alias("term")))
-    tf = lambda c: (F.length(c) - F.length(F.replace(F.col(c), F.col("term"), F.lit("")))) / F.length("term")
-    hits = accepted.join(q, F.contains(F.col("t"), F.col("term")) | F.contains(F.col("c"), F.col("term"))).select("query_id", "page_id", "dl", (tf("t") + tf("c")).alias("f"))
+    q = written(queries.select("query_id", F.lower("term").alias("term")).where(F.length("term") >= GRAM), "phrases")
+    asked = q.select("query_id", "term", F.explode(_grams(F.col("term"))).alias("gram"))
+    own = F.array_distinct(F.concat(_grams(F.coalesce("t", F.lit(""))), _grams(F.coalesce("c", F.lit("")))))
+    postings = accepted.select("page_id", F.explode(own).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    postings = written(postings, "postings")
+    common = postings.groupBy("gram").agg(F.count("*").alias("pages"))
+    rarest = asked.join(common, "gram").groupBy("query_id", "term").agg(F.min(F.struct("pages", "gram")).alias("r")).select("query_id", "term", F.col("r.gram").alias("gram"))
+    pairs = postings.join(rarest, "gram").select("query_id", "term", "page_id")
+    tf = lambda c: F.coalesce((F.length(c) - F.length(F.replace(F.col(c), F.col("term"), F.lit("")))) / F.length("term"), F.lit(0.0))
+    hits = written(pairs.join(accepted, "page_id").select("query_id", "page_id", "dl", (tf("t") + tf("c")).alias("f")).where("f > 0"), "hits")
     df = hits.groupBy("query_id").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(float(stats.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = F.when(idf <= 0, LEAST_IDF).otherwise(idf) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(float(stats.avgdl or 1.0))))

@@ -20,9 +20,9 @@ from ..operators import qug as Q
 from ..operators import vectors as V
 from ..sources import readers as R
 from ..sources.model import Model, ctes
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, written
 from ..streaming import streams as ST
-from .search import Query, scope_or_relaxed, search
+from .search import Answer, Query, answer, scope_or_relaxed, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -245,6 +245,75 @@ def relaxed_search(m: Model) -> DataFrame:
     return scope.withColumn("relaxed", F.lit(relaxed))
 
 
+ANCHORED = "'shop:brand:Brand#' || cast(page_id % 25 + 1 as varchar)"
+RELAXED = [FL.NumericRange("p_size", 45, 44), BRAND]
+NOWHERE = [FL.TextEquals("p_brand", "no brand")]
+
+
+def _whole_search_sql(test: str) -> str:
+    """Pages whose anchor has an entity that passes, by both lists, fused."""
+    within = f", within as (select page_id pid from pages where {ANCHORED} in (select value_text from facts e where field_name = 'category' and {test}))"
+    scope = "domain = 'en' and {} in (select pid from within)"
+    return _bm25_sql(TERMS, "max", 50, scope.format("page_id"), prefix=ctes("pages", "vectors", "facts", "refs") + within) + _rrf_sql("select * from lex", f"{VEC_LIST} where {scope.format('page_id')} order by score desc, page_id limit 50", 10)
+
+
+def _whole_search(m: Model, conditions: list) -> tuple[Query, Answer]:
+    pages = m.pages().withColumn("entity_id", F.concat(F.lit("shop:brand:Brand#"), (F.col("page_id") % 25 + 1).cast("string")))
+    asked = Query("than the", conditions, 10, "en")
+    return asked, answer(pages, asked, TERMS, m.vectors(), _query_vector(m), facts=m.facts(), refs=m.refs())
+
+
+AT_LEAST_45 = f"exists (select 1 from facts f where f.entity_id = e.entity_id and field_name = 'p_size' and value_numeric >= 45) and {IS_BRAND}"
+
+
+@query(_whole_search_sql(f"{IN_RANGE} and {HAS_SQL}"))
+def search_filtered(m: Model) -> DataFrame:
+    """Conditions to anchors to pages, both recalls within them, fused."""
+    return _whole_search(m, [RANGE, HAS])[1].hits
+
+
+@query(_whole_search_sql(AT_LEAST_45))
+def search_relaxed(m: Model) -> DataFrame:
+    """Conditions that nothing meets are relaxed once, then searched."""
+    return _whole_search(m, RELAXED)[1].hits
+
+
+@query(_whole_search_sql("false"))
+def search_empty_scope(m: Model) -> DataFrame:
+    """Conditions that nothing meets and that can't be relaxed find nothing."""
+    return _whole_search(m, NOWHERE)[1].hits
+
+
+def _log_sql(test: str, empty: bool, relaxed: bool) -> str:
+    return f"select 'than the' query_text, 'en' as \"domain\", (select count(*) from ({_whole_search_sql(test)})) hit_count, {empty} candidate_empty_initial, {relaxed} relaxation_succeeded, 'disabled' rewrite_status"
+
+
+@query(" union all ".join([_log_sql(f"{IN_RANGE} and {HAS_SQL}", False, False), _log_sql(AT_LEAST_45, True, True), _log_sql("false", True, False)]))
+def query_log_append(m: Model) -> DataFrame:
+    """A log row for each of three searches, appended and read back."""
+    from ..sources.sinks import AppendLog
+
+    log = AppendLog(m.spark, shared_path(m.spark, "query-log"), "log_id")
+    for conditions in ([RANGE, HAS], RELAXED, NOWHERE):
+        asked, found = _whole_search(m, conditions)
+        log.append(found.log_row(asked))
+    return log.read().select("query_text", "domain", "hit_count", "candidate_empty_initial", "relaxation_succeeded", "rewrite_status")
+
+
+@query(ctes("vectors") + f", v as (select id, entity_id, case when id % 3 = 0 then list_transform(vec, lambda x: -x) else vec end vec from vectors where id % 5 <> 0) select id, entity_id, round({COS}, 6) score from v order by score desc, id limit 10")
+def vector_collection(m: Model) -> DataFrame:
+    """A collection created, filled, changed in part, thinned, and searched."""
+    from ..sources.sinks import VectorCollection
+
+    points, q = m.vectors().select("id", "vec", "entity_id"), _query_vector(m)
+    store = VectorCollection(m.spark, shared_path(m.spark, "vectors"), len(q))
+    store.ensure()
+    store.upsert(points)
+    store.upsert(points.where("id % 3 = 0").withColumn("vec", F.transform("vec", lambda x: -x)))
+    store.delete(points.where("id % 5 = 0"))
+    return store.search(q, 10)
+
+
 # --- aggregates --------------------------------------------------------------
 
 QUALITY = "select page_id, domain, status, cast((page_id % 5) / 4.0 as double) coverage, cast((page_id % 3) / 2.0 as double) citation, case when page_id % 10 = 0 then null else cast((page_id % 4) / 3.0 as double) end consistency from pages"
@@ -287,9 +356,17 @@ def latency_histogram(m: Model) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("le"), F.col(f"`{c}`").alias("n")) for c in row.columns])).alias("x")).select("x.*")
 
 
-@query(ctes("logs") + " select domain, round(quantile_cont(latency_ms, 0.5), 6) p50, round(quantile_cont(latency_ms, 0.95), 6) p95, round(quantile_cont(latency_ms, 0.99), 6) p99 from logs group by domain")
+QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+@query(ctes("logs") + ", c as (select domain, latency_ms v, count(*) c from logs where latency_ms is not null group by 1, 2), w as (select *, sum(c) over (partition by domain order by v) cum, sum(c) over (partition by domain) n from c) select domain, " + ", ".join(f"min(case when cum > round((n - 1) * {q}::double) then v end) {name}" for name, q in QUANTILES.items()) + " from w group by domain")
 def latency_quantiles(m: Model) -> DataFrame:
-    return m.logs().groupBy("domain").agg(*[F.round(F.percentile("latency_ms", q), 6).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    """Nearest rank, from counts per value."""
+    counts = m.logs().where("latency_ms is not null").groupBy("domain", "latency_ms").agg(F.count("*").alias("c"))
+    w = W.partitionBy("domain").orderBy("latency_ms").rowsBetween(W.unboundedPreceding, W.currentRow)
+    total = counts.groupBy("domain").agg(F.sum("c").alias("n"))
+    seen = counts.withColumn("cum", F.sum("c").over(w)).join(F.broadcast(total), "domain")
+    return seen.groupBy("domain").agg(*[F.min(F.when(F.col("cum") > F.round((F.col("n") - 1) * F.lit(q)), F.col("latency_ms"))).alias(name) for name, q in QUANTILES.items()])
 
 
 TABLES = ("documents", "labels", "benchmark", "embeddings", "events", "pages", "conversations", "part", "supplier", "orders", "customer")
@@ -386,45 +463,19 @@ def _part_queries(parts: DataFrame) -> DataFrame:
     return parts.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("  Find "), F.upper("p_name"), F.lit("  and nothing")).alias("query_text"))
 
 
-def _graph_queries(m: Model) -> DataFrame:
-    return _part_queries(m.table("part").where("p_partkey < 60"))
-
-
-GRAPH_Q = "q as (select p_partkey query_id, 'find ' || p_name || ' and nothing' t from part where p_partkey < 60)"
-
-
-@query(f"""with {SYN}, {HYP}, ph as (select src p from syn union select dst from syn union select src from hyp union select dst from hyp), {GRAPH_Q},
- hit as (select query_id, s start, p, row_number() over (partition by query_id, s order by length(p) desc) r from q, range(1, 200) g(s), ph where s <= length(t) and substring(t, cast(s as integer), length(p)) = p)
- select query_id, cast(start as integer) start, p phrase from hit where r = 1""")
-def longest_phrase_match(m: Model) -> DataFrame:
-    return Q.longest_matches(_graph_queries(m), Q.build(Q.page_edges(_graph_pages(m)))).select("query_id", "start", "phrase")
-
-
-@query(f"""with {SYN}, {HYP}, ph as (select src p from syn union select dst from syn union select src from hyp union select dst from hyp), {GRAPH_Q},
- hit as (select query_id, s start, p, row_number() over (partition by query_id, s order by length(p) desc) r from q, range(1, 200) g(s), ph where s <= length(t) and substring(t, cast(s as integer), length(p)) = p),
- ex as (select distinct query_id, dst from (select query_id, p from hit where r = 1) h join (select src, dst from syn union select src, dst from hyp) e on e.src = h.p)
- select query_id, t original, cast(coalesce(count(distinct dst), 0) as bigint) n_expansions, coalesce(string_agg(dst, '|' order by dst), '') expansions, case when count(dst) > 0 then 'applied' else 'fallback' end status from q left join ex using (query_id) group by query_id, t""")
-def rewrite_terms(m: Model) -> DataFrame:
-    out = Q.rewrite(_graph_queries(m), Q.build(Q.page_edges(_graph_pages(m))))
-    more = F.slice("terms", 2, 100)
-    return out.select("query_id", F.col("terms")[0].alias("original"), F.size(more).cast("long").alias("n_expansions"), F.array_join(F.array_sort(more), "|").alias("expansions"), "status")
-
-
 GRAPH_HITS = f"""{SYN}, {HYP}, ph as (select src p from syn union select dst from syn union select src from hyp union select dst from hyp), q as (select p_partkey query_id, 'find ' || p_name || ' and nothing' t from part),
  starts as (select query_id, t, unnest(range(1, length(t) + 1)) start from q), cut as (select query_id, start, substring(t, start, n) p from starts, (select distinct cast(length(p) as bigint) n from ph) where start + n <= length(t) + 1),
  hit as (select query_id, start, p, row_number() over (partition by query_id, start order by length(p) desc) r from cut join ph using (p))"""
 
 
 @query(f"with {GRAPH_HITS} select query_id, cast(start as integer) start, p phrase from hit where r = 1")
-def longest_phrase_match_all(m: Model) -> DataFrame:
-    """As `longest_phrase_match`, with every part a query."""
+def longest_phrase_match(m: Model) -> DataFrame:
     return Q.longest_matches(_part_queries(m.table("part")), Q.build(Q.page_edges(_graph_pages(m)))).select("query_id", "start", "phrase")
 
 
 @query(f"""with {GRAPH_HITS}, ex as (select distinct query_id, dst from (select query_id, p from hit where r = 1) h join (select src, dst from syn union select src, dst from hyp) e on e.src = h.p)
  select query_id, t original, cast(coalesce(count(distinct dst), 0) as bigint) n_expansions, coalesce(string_agg(dst, '|' order by dst), '') expansions, case when count(dst) > 0 then 'applied' else 'fallback' end status from q left join ex using (query_id) group by query_id, t""")
-def rewrite_terms_all(m: Model) -> DataFrame:
-    """As `rewrite_terms`, with every part a query."""
+def rewrite_terms(m: Model) -> DataFrame:
     out = Q.rewrite(_part_queries(m.table("part")), Q.build(Q.page_edges(_graph_pages(m))))
     more = F.slice("terms", 2, 100)
     return out.select("query_id", F.col("terms")[0].alias("original"), F.size(more).cast("long").alias("n_expansions"), F.array_join(F.array_sort(more), "|").alias("expansions"), "status")
@@ -470,10 +521,10 @@ def review_suggestions(m: Model) -> DataFrame:
     return FB.suggestions(m.logs(), m.feedback())
 
 
-@query(ctes("logs", "feedback") + """ select reject_reason, count(*) n from (select case when l.log_id is null then 'log_missing' when l.domain <> f.domain then 'domain' when kind = 'rate' and (rating is null or rating not between 1 and 5) then 'rating'
- when kind in ('click', 'adopt') and page_id is null then 'page_missing' end reject_reason from feedback f left join logs l on f.log_id = l.log_id) group by 1""")
+@query(ctes("logs", "feedback") + """ select event_id, case when l.log_id is null then 'log_missing' when l.domain <> f.domain then 'domain' when kind = 'rate' and (rating is null or rating not between 1 and 5) then 'rating'
+ when kind in ('click', 'adopt') and page_id is null then 'page_missing' end reject_reason from feedback f left join logs l on f.log_id = l.log_id""")
 def feedback_reject_reasons(m: Model) -> DataFrame:
-    return FB.validated(m.feedback(), m.logs()).groupBy("reject_reason").agg(F.count("*").alias("n"))
+    return FB.validated(m.feedback(), m.logs()).select("event_id", "reject_reason")
 
 
 @query(ctes("logs", "feedback") + """ select 'logs' what, domain, count(*) n from logs where ts between timestamp '2024-01-08 00:00:00' and timestamp '2024-01-15 00:00:00' group by domain
@@ -486,15 +537,57 @@ def window_load(m: Model) -> DataFrame:
 
 
 
-@query(ctes("feedback") + ", r as (select distinct log_id review_id, domain, case when log_id % 5 = 0 and log_id % 3 = 0 then 'ignored' else 'pending' end status from feedback where log_id % 4 = 0) select review_id, domain, case when status = 'pending' and review_id % 3 = 1 then 'approved' when status = 'pending' and review_id % 3 = 2 then 'ignored' else status end status from r where domain = 'en' order by review_id limit 1000")
+@query(ctes("feedback") + ", r as (select distinct log_id review_id, domain, case when log_id % 5 = 0 and log_id % 3 = 0 then 'ignored' else 'pending' end status from feedback) select review_id, domain, case when status = 'pending' and review_id % 3 = 1 then 'approved' when status = 'pending' and review_id % 3 = 2 then 'ignored' else status end status from r where domain = 'en' order by review_id limit 1000")
 def review_list(m: Model) -> DataFrame:
     """Reviews of a domain after decisions, in order, up to the list's limit."""
-    ids = m.feedback().where("log_id % 4 = 0").select(F.col("log_id").alias("review_id"), "domain").distinct()
+    ids = m.feedback().select(F.col("log_id").alias("review_id"), "domain").distinct()
     reviews = ids.withColumn("status", F.when((F.col("review_id") % 5 == 0) & (F.col("review_id") % 3 == 0), "ignored").otherwise("pending"))
     decisions = ids.select("review_id").distinct().where("review_id % 3 > 0").withColumn("decision", F.when(F.col("review_id") % 3 == 1, "approve").otherwise("ignore"))
     return FB.decide(reviews, decisions).where("domain = 'en'").orderBy("review_id").limit(1000).select("review_id", "domain", "status")
 
 
+@query(ctes("logs", "feedback") + """ select event_id, reject_reason from (select event_id, case when l.log_id is null then 'log_missing' when l.domain <> f.domain then 'domain' when kind = 'rate' and (rating is null or rating not between 1 and 5) then 'rating'
+ when kind in ('click', 'adopt') and page_id is null then 'page_missing' end reject_reason from feedback f left join logs l on f.log_id = l.log_id) where reject_reason is not null""")
+def rejection_audit(m: Model) -> DataFrame:
+    """Refused events, appended to the audit and read back."""
+    from ..sources.sinks import AppendLog
+
+    audit = AppendLog(m.spark, shared_path(m.spark, "audit"), "audit_id")
+    audit.append(FB.validated(m.feedback(), m.logs()).where("reject_reason is not null").select("event_id", "reject_reason"))
+    return audit.read().select("event_id", "reject_reason")
+
+
+REVIEWS = """r as (select p_partkey k, case when p_partkey % 9 = 0 then 'other' else 'shop' end as dom, (['supplemental_compile', 'query_template', 'ignore', 'compile_dead_letter', 'consistency_conflict', 'compatibility_conflict'])[p_partkey % 6 + 1] action,
+ case when p_partkey % 10 = 0 then 'ignored' else 'pending' end status, p_partkey % 6 in (3, 4) again, p_partkey % 8 <> 3 has_task, p_partkey % 4 <> 1 dead, p_partkey % 7 <> 0 same, p_partkey % 5 <> 0 queued, p_partkey + case when p_partkey % 11 = 0 then 1 else 0 end q from part),
+ a as (select *, case when status <> 'pending' then 'not_pending' when action = 'ignore' then 'action' when action in ('query_template', 'compatibility_conflict') then null when again and not has_task then 'task_missing' when action = 'compile_dead_letter' and not dead then 'not_dead'
+ when dom <> 'shop' then 'domain' when again and not same then 'head_moved' when not queued or (again and q <> k) then 'not_queued' end problem from r)"""
+
+
+def _reviews(m: Model) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    k = F.col("p_partkey")
+    pick = lambda test, yes, no: F.when(test, yes).otherwise(no)
+    base = m.table("part").select(k, F.concat(F.lit("shop:part:"), k.cast("string")).alias("entity_id"))
+    again = (k % 6).isin(3, 4)
+    reviews = base.select(k.alias("review_id"), pick(k % 9 == 0, "other", "shop").alias("domain"), F.element_at(F.array(*map(F.lit, FB.ACTIONS)), (k % 6 + 1).cast("int")).alias("action"), pick(k % 10 == 0, "ignored", "pending").alias("status"), F.when(~again, F.col("entity_id")).alias("entity_id"), F.when(again, k).alias("task_id"))
+    tasks = base.where(k % 8 != 3).select(k.alias("task_id"), "entity_id", pick(k % 4 != 1, "dead", "failed").alias("task_status"), F.lit("h").alias("source_hash"))
+    heads = base.select("entity_id", pick(k % 7 != 0, "h", "g").alias("head_hash"))
+    admissions = base.select("entity_id", pick(k % 5 != 0, "queued_epoch", "skipped").alias("admission"), (k + F.when(k % 11 == 0, 1).otherwise(0)).alias("queued_task"))
+    return reviews, tasks, heads, admissions
+
+
+@query(f"with {REVIEWS} select k review_id, case when problem is null then 'approved' else status end status, case when problem is null and action not in ('query_template', 'compatibility_conflict') then q end compile_task_id, problem from a")
+def review_approval(m: Model) -> DataFrame:
+    """Six kinds of review, each approved once."""
+    return FB.approve(*_reviews(m))
+
+
+@query(f"with {REVIEWS} select dom as \"domain\", 'supplemental_compile' action, 'shop:part:' || cast(k as varchar) entity_id, 'approved' status, k compile_task_id from a where action = 'consistency_conflict' and problem is null")
+def review_conversions(m: Model) -> DataFrame:
+    """Supplemental compiles that approved consistency conflicts become."""
+    reviews, tasks, heads, admissions = _reviews(m)
+    return FB.conversions(reviews, FB.approve(reviews, tasks, heads, admissions), tasks)
+
+
 # --- evaluation --------------------------------------------------------------
 
 RUNS = """runs as (select doc_id, (['synonym', 'intent', 'negation', 'attribute_filter', 'negative'])[doc_id % 5 + 1] kind, [doc_id, doc_id + 1, doc_id + 2, doc_id + 3] hits,
@@ -572,8 +665,8 @@ def _evidence(m: Model) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     )
     assertions = each.select("page_id", F.col("position").alias("section"), F.lit(0).alias("position"), F.when((fault == 7) & first, "other words").otherwise(F.col("value")).alias("text"), F.when((fault == 8) & first, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("r"), (F.col("position") + 1).cast("string")))).alias("ref_ids"))
     n_units = each.groupBy("page_id").agg(F.count("*").alias("units"))
-    checked = C.check_refs(refs, units, sources.select("page_id", "entity_id", "source_revision"))
-    return checked, C.check_assertions(assertions, checked), n_units, refs
+    checked = written(C.check_refs(refs, units, sources.select("page_id", "entity_id", "source_revision")), "refs")
+    return checked, written(C.check_assertions(assertions, checked), "assertions"), n_units, refs
 
 
 EVIDENCE = f"""{UNITS}, ev as (select *, page_id % 10 fault, row_number() over (partition by page_id order by pointer) = 1 fst, row_number() over (partition by page_id order by pointer) - 1 section from units),
@@ -581,11 +674,11 @@ EVIDENCE = f"""{UNITS}, ev as (select *, page_id % 10 fault, row_number() over (
  asr as (select *, case when fst then case when fault in (1, 4, 5, 6) then 'UNKNOWN_REF' when fault = 7 then 'ASSERTION_UNSUPPORTED' when fault = 8 then 'MISSING_REF' end end issue, case when fst and fault = 7 then 'other words' else val end txt from rf)"""
 
 
-@query(f"with {EVIDENCE} select code, count(*) n from (select code from rf where code is not null union all select issue from asr where issue is not null) group by code")
+@query(f"with {EVIDENCE} select page_id, section, code from rf where code is not null union all select page_id, section, issue from asr where issue is not null")
 def citation_validation(m: Model) -> DataFrame:
     refs, assertions, _, _ = _evidence(m)
-    codes = refs.select(F.explode("issues").alias("code")).unionByName(assertions.where("issue is not null").select(F.col("issue").alias("code")))
-    return codes.groupBy("code").agg(F.count("*").alias("n"))
+    codes = refs.select("page_id", "section", F.explode("issues").alias("code"))
+    return codes.unionByName(assertions.where("issue is not null").select("page_id", "section", F.col("issue").alias("code")))
 
 
 SCORES = f"""{EVIDENCE}, rep as (select page_id, count(*) assertions, sum(case when issue is null then 1 else 0 end) supported, sum(length(regexp_replace(txt, '\\s+', '', 'g'))) total_chars, sum(case when issue is null then length(regexp_replace(txt, '\\s+', '', 'g')) else 0 end) info,
@@ -600,14 +693,14 @@ def quality_scores(m: Model) -> DataFrame:
     return s.select("page_id", F.col("issues").cast("long").alias("issues"), *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("coverage", "citation", "density")])
 
 
-@query(f"with {SCORES} select issues = 0 and (coverage + citation + density + 1) / 4 >= 0.75 and coverage >= 0.6 and density >= 0.4 and citation = 1 accepted, count(*) n from sc group by 1")
+@query(f"with {SCORES} select page_id, issues = 0 and (coverage + citation + density + 1) / 4 >= 0.75 and coverage >= 0.6 and density >= 0.4 and citation = 1 accepted from sc")
 def gate_decision(m: Model) -> DataFrame:
     refs, assertions, n_units, _ = _evidence(m)
-    return C.gate(C.scores(C.ref_report(refs, assertions), n_units)).groupBy("accepted").agg(F.count("*").alias("n"))
+    return C.gate(C.scores(C.ref_report(refs, assertions), n_units)).select("page_id", "accepted")
 
 
 @query("""with s as (select p_partkey k, p_partkey % 4 + 1 rev, p_partkey % 5 + 1 head, p_partkey % 3 = 0 same_snapshot, p_partkey % 6 = 0 page_current, case p_partkey % 4 when 0 then null when 1 then 'pending' when 2 then 'running' else 'succeeded' end st, p_partkey % 2 = 0 same_task, p_partkey % 3 + 1 trev from part)
- select admission, count(*) n from (select case when rev < head then 'skipped' when rev = head and not same_snapshot then 'rejected' when page_current then 'skipped' when st is null then 'inserted' when not same_task then 'queued_epoch' when st in ('pending', 'running') and rev > trev then 'queued' else 'skipped' end admission from s) group by 1""")
+ select 'shop:part:' || cast(k as varchar) entity_id, case when rev < head then 'skipped' when rev = head and not same_snapshot then 'rejected' when page_current then 'skipped' when st is null then 'inserted' when not same_task then 'queued_epoch' when st in ('pending', 'running') and rev > trev then 'queued' else 'skipped' end admission from s""")
 def admission_decision(m: Model) -> DataFrame:
     k = F.col("p_partkey")
     base = m.table("part").select(k, F.concat(F.lit("shop:part:"), k.cast("string")).alias("entity_id"))
@@ -616,7 +709,7 @@ def admission_decision(m: Model) -> DataFrame:
     pages = base.select("entity_id", F.when(k % 6 == 0, "h").otherwise("g").alias("page_hash"), F.lit("a1").alias("page_artifact"))
     status = F.element_at(F.array(*map(F.lit, ("none", "pending", "running", "succeeded"))), (k % 4 + 1).cast("int"))
     tasks = base.where(k % 4 != 0).select("entity_id", status.alias("task_status"), F.when(k % 2 == 0, "h").otherwise("g").alias("task_hash"), (k % 3 + 1).alias("task_revision"))
-    return C.admit(sources, heads, pages, tasks, "a1").groupBy("admission").agg(F.count("*").alias("n"))
+    return C.admit(sources, heads, pages, tasks, "a1").select("entity_id", "admission")
 
 
 @query("""with t as (select c_mktsegment domain, o_orderkey task_id, o_orderkey % 97 next_attempt_at, o_orderkey % 5 retry_count, cast(floor(o_totalprice) as bigint) cost from orders join customer on o_custkey = c_custkey where o_orderstatus = 'O'),
@@ -628,6 +721,17 @@ def budget_claim(m: Model) -> DataFrame:
     return C.claim(tasks, 50, 20, 5_000_000)
 
 
+@query("""with t as (select c_mktsegment domain, o_orderkey task_id, o_orderkey % 97 next_attempt_at, o_orderkey % 1000 * 100 reserved, cast(floor(o_totalprice) as bigint) cost from orders join customer on o_custkey = c_custkey where o_orderstatus = 'O'),
+ d as (select *, cast(sum(cost) over w as bigint) running, min(case when reserved + cost <= 400000 then 1 else 0 end) over w fits from t where next_attempt_at <= 50 window w as (partition by domain order by next_attempt_at, task_id rows unbounded preceding))
+ select domain, task_id, cost, running, 350 lease_until from d where running <= 3500000 and fits = 1""")
+def budget_claim_three(m: Model) -> DataFrame:
+    """Budgets of a task, of the run and of the UTC day."""
+    k = F.col("o_orderkey")
+    o = m.table("orders").where("o_orderstatus = 'O'").join(m.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    tasks = o.select(F.col("c_mktsegment").alias("domain"), k.alias("task_id"), (k % 97).alias("next_attempt_at"), F.lit(0).alias("retry_count"), (k % 1000 * 100).alias("reserved"), F.floor("o_totalprice").alias("cost"), F.lit("pending").alias("status"))
+    return C.claim(tasks, 50, 1 << 40, 5_000_000, task_budget=400_000, day_budget=4_000_000, day_used=500_000)
+
+
 @query("""with f as (select o_orderkey task_id, (['invalid', 'retryable', 'permanent'])[o_orderkey % 3 + 1] kind, o_orderkey % 5 rc, o_orderkey % 4 rt, case when o_orderkey % 7 = 0 then o_orderkey % 500 end ra from orders),
  g as (select *, (kind = 'invalid' and rc > 2) or (kind = 'retryable' and rt >= 3) dead from f), b as (select *, case when kind = 'retryable' then coalesce(case when ra between 0 and 300 then ra end, case when rt + 1 <= 1 then 1 else least(pow(2, rt), 60) end) else case when rc <= 1 then 1 else least(pow(2, rc - 1), 60) end end w from g)
  select task_id, case when kind = 'permanent' then 'failed' when dead then 'dead' else 'pending' end status, case when kind = 'permanent' then 'failed' when dead and kind = 'invalid' then 'quarantined' when dead then 'failed' end result, case when kind <> 'permanent' and not dead then cast(w as bigint) end wait_seconds, dead review from b""")
@@ -733,15 +837,8 @@ def page_embedding_text(m: Model) -> DataFrame:
     return m.pages().where("status = 'accepted'").select("page_id", F.length(S.page_text(F.col("title"), F.col("content"))).alias("n_chars"))
 
 
-@query("select p_partkey id, 1.0::double length from part where p_partkey < 200")
-def deterministic_embedding(m: Model) -> DataFrame:
-    """Hashed embeddings are unit vectors."""
-    vec = S.hashed_embedding(F.col("p_name"), 16)
-    return m.table("part").where("p_partkey < 200").select(F.col("p_partkey").alias("id"), vec.alias("v")).select("id", F.round(S.norm(F.col("v")), 9).alias("length"))
-
-
 @query(None)
-def deterministic_embedding_all(m: Model) -> DataFrame:
+def deterministic_embedding(m: Model) -> DataFrame:
     """The vectors of every part, with their lengths. No SQL: DuckDB doesn't have the hash."""
     vec = S.hashed_embedding(F.col("p_name"), 16)
     return m.table("part").select(F.col("p_partkey").alias("id"), vec.alias("v")).select("id", F.round(S.norm(F.col("v")), 9).alias("length"), F.transform("v", lambda x: F.round(x, 9)).alias("vec"))
@@ -789,17 +886,8 @@ def publish_pages(m: Model) -> DataFrame:
     return C.publish(current, compiled, tasks, heads, 80)
 
 
-@query("select o_orderkey task_id, case when o_orderkey % 3 = 0 and o_orderkey % 200 >= 100 then 400 else o_orderkey % 200 end lease_until from orders where o_orderkey < 600")
-def lease_heartbeat(m: Model) -> DataFrame:
-    k = F.col("o_orderkey")
-    tasks = m.table("orders").where("o_orderkey < 600").select(k.alias("task_id"), F.lit("running").alias("status"), F.lit("t").alias("token"), F.lit(1).alias("epoch"), (k % 200).alias("lease_until"))
-    beats = tasks.where("task_id % 3 <> 1").select("task_id", F.when(F.col("task_id") % 3 == 0, "t").otherwise("stale").alias("token"), "epoch")
-    return C.heartbeat(tasks, beats, 100).select("task_id", "lease_until")
-
-
 @query("select o_orderkey task_id, case when o_orderkey % 3 = 0 and o_orderkey % 200 >= 100 then 400 else o_orderkey % 200 end lease_until from orders")
-def lease_heartbeat_all(m: Model) -> DataFrame:
-    """As `lease_heartbeat`, with every order a task."""
+def lease_heartbeat(m: Model) -> DataFrame:
     k = F.col("o_orderkey")
     tasks = m.table("orders").select(k.alias("task_id"), F.lit("running").alias("status"), F.lit("t").alias("token"), F.lit(1).alias("epoch"), (k % 200).alias("lease_until"))
     beats = tasks.where("task_id % 3 <> 1").select("task_id", F.when(F.col("task_id") % 3 == 0, "t").otherwise("stale").alias("token"), "epoch")
@@ -831,15 +919,15 @@ def graph_publish(m: Model) -> DataFrame:
     return live.agg(F.count("*").alias("n_edges")).select("n_edges", F.lit(generation).cast("long").alias("generation"), F.lit(again).alias("again"))
 
 
-@query(ctes("pages") + " select count(*) n, sum(page_id)::bigint ids from pages where status = 'accepted'")
+@query(ctes("pages") + " select page_id, entity_id, title, content, domain from pages where status = 'accepted'")
 def search_export(m: Model) -> DataFrame:
     from ..sources.sinks import search_documents
 
-    ids = F.get_json_object("value", "$.page_id").cast("long")
-    return search_documents(m.pages()).agg(F.count("*").alias("n"), F.sum(ids).alias("ids"))
+    whole = F.from_json("value", "page_id long, entity_id string, title string, content string, domain string")
+    return search_documents(m.pages()).select(whole.alias("d")).select("d.*")
 
 
-BATCH = "q as (select item_id query_id, lower(substring(text, 1, 12)) term from benchmark)"
+BATCH = "q as (select item_id query_id, (select w from unnest(string_split(lower(text), ' ')) t(w) order by length(w) desc, w desc limit 1) term from benchmark)"
 
 
 @query(ctes("pages") + f""", {BATCH}, acc as (select page_id, {DL} dl, lower(title) t, lower(content) c from pages where status = 'accepted'), st as (select count(*) n, avg(dl) avgdl from acc),
@@ -848,8 +936,9 @@ BATCH = "q as (select item_id query_id, lower(substring(text, 1, 12)) term from
  s as (select query_id, page_id, round(case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)), 9) score from h join d using (query_id), st)
  select query_id, cast(row_number() over (partition by query_id order by score desc, page_id) as integer) "rank", page_id, score from s qualify row_number() over (partition by query_id order by score desc, page_id) <= 5""")
 def batch_bm25(m: Model) -> DataFrame:
-    """The first words of every benchmark item, each a query, in one plan."""
-    queries = m.table("benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 12).alias("term"))
+    """The longest word of every benchmark item, each a query, in one plan."""
+    words = F.transform(F.split(F.lower("text"), " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    queries = m.table("benchmark").select(F.col("item_id").alias("query_id"), F.array_max(words)["w"].alias("term"))
     return L.batch_topk(m.pages(), queries, 5)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,8 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; a temporary folder where the session has none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillon-')}"
+    """A new path in the folder that the session names for checkpoints; only a session on this machine alone (tests) gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if found.isDefined():
+            base = found.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            base = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -58,6 +58,74 @@ class PublishedTable:
         return generation, "published"
 
 
+class AppendLog:
+    """An append-only table (query log, rejection audit): rows get ids that rise from append to append."""
+
+    def __init__(self, spark: SparkSession, path: str, id_column: str):
+        self.spark, self.path, self.id = spark, path.rstrip("/"), id_column
+        self.batches = 0
+
+    def append(self, rows: DataFrame) -> DataFrame:
+        """The rows as written, with their ids: 18 bits of batch, 17 of partition, 28 of row, given once while writing."""
+        path = f"{self.path}/batch={self.batches}"
+        place = F.monotonically_increasing_id()  # partition above 33 bits of row
+        number = F.lit(self.batches << 45) + F.shiftright(place, 33) * (1 << 28) + place % (1 << 33)
+        rows.select(number.alias(self.id), "*").write.parquet(path)
+        self.batches += 1
+        return self.spark.read.parquet(path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/batch={k}" for k in range(self.batches)])
+
+
+class VectorCollection:
+    """Points (id, vec, entity_id and more) of one dimension and distance, as a published table: changes are generations."""
+
+    def __init__(self, spark: SparkSession, path: str, dims: int):
+        self.table, self.dims, self.spark = PublishedTable(spark, path), dims, spark
+
+    def ensure(self, schema: str = "id bigint, vec array<double>, entity_id string") -> None:
+        """Create the collection if it isn't there."""
+        if self.table.current() is None:
+            self.recreate(schema)
+
+    def recreate(self, schema: str = "id bigint, vec array<double>, entity_id string") -> None:
+        self.table.publish(self.spark.createDataFrame([], schema), force=True)
+
+    def points(self) -> DataFrame:
+        return self.table.current()[1]
+
+    def upsert(self, points: DataFrame) -> None:
+        """Points replace those of the same id; vectors of another length are refused."""
+        if not points.where((F.size("vec") != self.dims) | F.col("vec").isNull()).isEmpty():
+            raise ValueError(f"vectors must have {self.dims} numbers")
+        live = self.points()
+        self.table.publish(live.join(points.select("id"), "id", "left_anti").unionByName(points.select(*live.columns)))
+
+    def delete(self, ids: DataFrame) -> None:
+        self.table.publish(self.points().join(ids.select("id"), "id", "left_anti"))
+
+    def search(self, query: list[float], k: int, distance: str = "cosine", whitelist: DataFrame | None = None) -> DataFrame:
+        from ..operators.vectors import vector_topk
+
+        return vector_topk(self.points(), query, k, distance, whitelist)
+
+
+def write_report(spark: SparkSession, doc: dict, path: str, titles: dict[str, str] | None = None) -> None:
+    """A report's JSON and Markdown files, written aside and renamed into place, so that readers never see a part."""
+    named = {titles.get(k, k) if titles else k: v for k, v in doc.items()}
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for suffix, text in ((".json", canonical_json(doc)), (".md", markdown(named))):
+        aside, there = hadoop.Path(f"{path}{suffix}.part"), hadoop.Path(f"{path}{suffix}")
+        fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+        out = fs.create(aside, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if fs.exists(there):
+            fs.delete(there, False)
+        fs.rename(aside, there)
+
+
 def point_id(entity: F.Column, chunk: F.Column, generation: F.Column) -> F.Column:
     """Deterministic UUID-shaped id of a vector point."""
     h = F.sha2(F.concat_ws("\n", entity, chunk, generation.cast("string")), 256)

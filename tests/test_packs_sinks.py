@@ -1,5 +1,7 @@
 """Packs, intents, published tables, reports, lease timers."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +89,61 @@ def test_lease_timers(spark, tmp_path):
     got = {(r.task_id, r.outcome, r.at - 1_000_000) for r in ST.drain(ST.lease_timers(ST.read_stream(spark, f"{tmp_path}/e"))).collect()}
     assert {(1, "done", 450.0), (2, "expired", 300.0)} <= got
     assert {x for x in got if x[0] == 3} <= {(3, "expired", 300.0)} and not any(x[0] == 9 for x in got)
+
+
+def test_append_log_ids(spark, tmp_path):
+    from quillon.sources.sinks import AppendLog
+
+    log = AppendLog(spark, f"file://{tmp_path}/log", "log_id")
+    for n in (5, 0, 7):
+        log.append(spark.range(n).repartition(3).withColumnRenamed("id", "x"))
+    rows = log.read().collect()
+    assert len({r.log_id for r in rows}) == len(rows) == 12
+    assert {r.log_id >> 45 for r in rows} == {0, 2}
+
+
+def test_vector_collection(spark, tmp_path):
+    from quillon.sources.sinks import VectorCollection
+
+    store = VectorCollection(spark, f"file://{tmp_path}/v", 2)
+    store.ensure()
+    points = "id bigint, vec array<double>, entity_id string"
+    store.upsert(spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "b")], points))
+    store.ensure()
+    with pytest.raises(ValueError):
+        store.upsert(spark.createDataFrame([(3, [1.0], "c")], points))
+    store.upsert(spark.createDataFrame([(2, [1.0, 1.0], "b")], points))
+    assert [(r.id, r.score) for r in store.search([1.0, 0.0], 5).collect()] == [(1, 1.0), (2, 0.707107)]
+    store.delete(spark.createDataFrame([(1,)], "id bigint"))
+    assert [r.id for r in store.points().collect()] == [2]
+    store.recreate()
+    assert store.points().count() == 0
+
+
+def test_report_files(spark, tmp_path):
+    from quillon.sources.sinks import report, write_report
+
+    doc = report({"rows": spark.range(2)})
+    for _ in range(2):
+        write_report(spark, doc, f"file://{tmp_path}/r", {"rows": "Zeilen"})
+    assert json.loads((tmp_path / "r.json").read_text()) == doc
+    assert (tmp_path / "r.md").read_text().startswith("## Zeilen") and not list(tmp_path.glob("*.part"))
+
+
+def test_claim_ends_at_what_does_not_fit(spark):
+    from quillon.operators.compiling import claim
+
+    rows = [("d", 1, 1, 0, 5, 0), ("d", 2, 1, 0, 5, 9), ("d", 3, 1, 0, 1, 0)]
+    tasks = spark.createDataFrame([(*r, "pending") for r in rows], "domain string, task_id int, next_attempt_at int, retry_count int, cost int, reserved int, status string")
+    ids = lambda **how: [r.task_id for r in claim(tasks, 5, 10, 100, **how).orderBy("task_id").collect()]
+    assert ids() == [1, 2, 3]
+    assert ids(task_budget=10) == [1]
+    assert ids(day_budget=20, day_used=10) == [1, 2]
+
+
+def test_search_needs_facts(spark):
+    from quillon.operators.filters import TextEquals
+    from quillon.plans.search import Query, search
+
+    with pytest.raises(ValueError):
+        search(spark.createDataFrame([], "page_id long, title string, content string, status string, domain string"), Query("x", [TextEquals("a", "b")]))
