@@ -577,3 +577,105 @@ def test_pipeline_stages(spark):
 def test_pipeline_runs(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+# --- row names and splits ----------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op1", "op3", "op4", "op6", "op8", "op10"])
+def test_results_hold_when_splits_change(spark, tmp_path, monkeypatch, name):
+    """Every written table changes how the next scan is split, as lost and late executors do."""
+    from quillon.llm import common
+
+    for table in ("documents", "pages", "benchmark"):
+        df = spark.read.parquet(f"{SF}/{table}.parquet")
+        (df.repartition(9) if table != "benchmark" else df).write.parquet(str(tmp_path / f"{table}.parquet"))
+    if name == "op10":  # several blocks of test items
+        run = lambda: decontaminate.judge(common.table(spark, tmp_path, "documents"), common.table(spark, tmp_path, "benchmark"), block_bytes=600)
+    else:
+        query = {"op1": warc.op1, "op3": jaccard.op3, "op4": suffixdedup.op4, "op6": mixing.op6, "op8": pii.op8}[name]
+        run = lambda: query(spark, str(tmp_path))
+    want = Counter(map(tuple, run().collect()))
+    plain, turn = common.stored, itertools.cycle([("1", "0"), ("40", "64k"), ("3", "4m")])
+
+    def shaken(*args):
+        cores, cost = next(turn)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", cores)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        return plain(*args)
+
+    for module in (common, jaccard):
+        monkeypatch.setattr(module, "stored", shaken)
+    try:
+        assert Counter(map(tuple, run().collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_row_names_of_other_plans(spark):
+    from quillon.llm.common import placed
+
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").toDF("_metadata")
+    for plan in (df, df.union(df), df.select(F.explode(F.array("_metadata", "_metadata"))), df.groupBy("_metadata").count(), df.where("_metadata > 10")):
+        rows = placed(plan).select("q_file", "q_row").collect()
+        assert len(set(rows)) == len(rows) == plan.count()
+
+
+def test_labels_glued_to_identifiers(spark, tmp_path):
+    seeds = [f"word badge:+1 555 010 {1000 + i} more text" for i in range(6)]
+    unseen = ["word badge:77-1234567 more", "word badge: 88-7654321 more"]
+    clean = ["order 99-1112223 of screws", "the screws (55-4443332) came"]
+    df = documents(spark, [*seeds, *unseen, *clean], tmp=tmp_path / "d")
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if not s.base] for r in pii.find_personal_data(df).collect()}
+    assert found[6] == [("phone", 11, 21)] and found[7] == [("phone", 12, 22)]
+    assert not any(found[k] for k in (*range(6), 8, 9))
+
+
+def test_contexts_of_any_length(spark, tmp_path):
+    long = "x" * 300
+    df = documents(spark, [*(f"{long} +1 555 010 {1000 + i} y" for i in range(5)), f"{long} 77-1234567 y"], tmp=tmp_path / "d")
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans if not s.base] for r in pii.find_personal_data(df).collect()}
+    assert found[5] == [(301, 311)]
+
+
+# --- long texts, empty tables, clashing names --------------------------------
+
+
+def test_long_text(spark, tmp_path):
+    rng = random.Random(12)
+    long = prose(rng, 150_000, words=[f"w{i}" for i in range(5000)])
+    texts = [long, f"{long} and one more", "short text of a few words", None, ""]
+    df = documents(spark, texts, tmp=tmp_path / "d")
+    same = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()}
+    assert same[0] == same[1] == 0 and same[2] == 2
+    gone = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixdedup.remove_repeats(df).collect()}
+    assert gone[0] == (len(long), len(long)) and gone[1] == (len(long) + 13, len(long)) and gone[2][1] == 0
+    taken = {r.doc_id: r.q_size for r in mixing.mix(df).collect()}
+    assert taken == {0: 150_000, 1: 150_003, 2: 6, 3: 0, 4: 0}
+    bench = spark.createDataFrame([(1, " ".join(long.split()[70_000:70_020]))], "item_id long, text string")
+    hits = {r.doc_id: r.q_n_hit for r in decontaminate.judge(df, bench).collect()}
+    assert hits == {0: 20, 1: 20, 2: 0, 3: 0, 4: 0}
+    assert {r.doc_id for r in quality.classify(df).where("not q_keep").collect()} >= {3, 4}
+
+
+def test_empty_tables(spark, tmp_path):
+    none = documents(spark, ["x"], tmp=tmp_path / "d").where("doc_id > 5")
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk.top_k(topk.usable(vectors, "vec_id", "embedding", 1024), topk.usable(vectors, "vec_id", "embedding", 1024), 10).count() == 0
+    assert jaccard.one_of_each(none).count() == quality.kept(none).count() == mixing.mixed_documents(none).count() == tokenbin.token_rows(none).count() == 0
+
+
+def test_clashing_names(spark, tmp_path):
+    df = documents(spark, ["some words of text here and there"] * 3, tmp=tmp_path / "d").toDF("doc_id", "text", "q_file", "k1", "rep")
+    assert jaccard.one_of_each(df).columns == df.columns and jaccard.one_of_each(df).count() == 1
+    twice = df.select("doc_id", "text", F.lit("a").alias("source"), F.lit(1).alias("q_taken"), F.lit(2).alias("q_row"))
+    assert mixing.mixed_documents(twice).columns == twice.columns
+    assert mixing.mix(twice).columns == ["doc_id", "text", "source", "q_row", *mixing.ADDED]
+    assert quality.classify(df.withColumn("q_score", F.lit("x"))).columns == [*df.columns, "q_posterior", "q_score", "q_keep"]
+
+
+def test_short_items_take_no_part(spark, tmp_path):
+    df = documents(spark, ["the cat sat on the mat", " ".join(f"w{i}" for i in range(30))], tmp=tmp_path / "d")
+    bench = spark.createDataFrame([(1, "the"), (2, " ".join(f"w{i}" for i in range(5, 20)))], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.decontaminate(df, bench).collect()] == [0]
