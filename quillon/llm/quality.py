@@ -81,9 +81,11 @@ def pattern(v: tuple[int, ...]) -> int:
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, smoothing: float = 1.0, bounds: tuple[float, float] = (0.6, 0.98)) -> tuple[np.ndarray, np.ndarray, float]:
     """(posterior of good per pattern, accuracy of each labeller where it votes, share of good): votes are independent given the class, silence says nothing.
 
-    Labellers are taken to beat chance (`bounds` of the accuracies) and the
-    classes to weigh alike beforehand; left free, EM prefers the trivial
-    explanation that all documents are of the commoner class.
+    Labellers are taken to beat chance (`bounds` of the accuracies) and the classes
+    to weigh alike beforehand, whatever their estimated shares: most labellers speak
+    for one class alone, so with the share as prior, or with noisy labellers and no bounds, EM
+    settles on the trivial explanation that a lone symptom is its labeller's
+    mistake and nearly all documents are of the commoner class.
     """
     v = patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
     good = 1 / (1 + np.exp(-2.0 * v.sum(1)))  # begin from the majority
