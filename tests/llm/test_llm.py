@@ -679,3 +679,24 @@ def test_short_items_take_no_part(spark, tmp_path):
     df = documents(spark, ["the cat sat on the mat", " ".join(f"w{i}" for i in range(30))], tmp=tmp_path / "d")
     bench = spark.createDataFrame([(1, "the"), (2, " ".join(f"w{i}" for i in range(5, 20)))], "item_id long, text string")
     assert [r.doc_id for r in decontaminate.decontaminate(df, bench).collect()] == [0]
+
+
+def test_bounds_guard_one_sided_labellers():
+    """With noisy voters that speak for one class only, EM without bounds calls junk good; bounds hold it back."""
+    rng = np.random.default_rng(3)
+    n = 20_000
+    good = rng.random(n) < 0.8
+    v = np.zeros((n, len(quality.LABELLERS)), int)
+    for k in range(6):
+        v[:, k] = -1 * ((~good & (rng.random(n) < 0.4)) | (good & (rng.random(n) < 0.01)))
+    for k in (6, 7):
+        v[:, k] = (good & (rng.random(n) < 0.8)) | (~good & (rng.random(n) < 0.05))
+    v[:, 8] = rng.random(n) < 0.5
+    patterns, inverse, counts = np.unique([quality.pattern(x) for x in v], return_inverse=True, return_counts=True)
+    heard = (v != 0).any(1)
+
+    def right(**how):
+        posterior, _, _ = quality.expectation_maximisation(patterns, counts.astype(float), **how)
+        return ((posterior[inverse] >= 0.5) == good)[heard].mean()
+
+    assert right() > 0.88 and right() > right(bounds=(1e-4, 1 - 1e-4)) + 0.03
