@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import framed_hash, normalize
+from ..sources.shared import written
 
 PHRASES, TERMS, DEPTH = 16, 64, 4
 BROADCAST_ROWS = 50_000
@@ -37,18 +38,19 @@ def source_hash(edges: DataFrame) -> DataFrame:
 def longest_matches(queries: DataFrame, edges: DataFrame) -> DataFrame:
     """query_id, start, phrase: at each start position of the normalized query, its longest graph phrase; the 16 longest.
 
-    Substrings of a query are few (its length times the longest phrase), so
-    they are exploded and joined by equality, not compared with every phrase.
+    Substrings of a query that have a phrase's length are few, so they are
+    exploded and joined by equality, not compared with every phrase.
     Spark's estimate doesn't see the explosion and would broadcast the substrings;
     so the phrases are, up to BROADCAST_ROWS of them, and else both are shuffled.
     """
     phrases = edges.select(F.col("src").alias("phrase")).unionByName(edges.select(F.col("dst").alias("phrase"))).distinct()
-    size = phrases.agg(F.max(F.length("phrase")).alias("m"), F.count("*").alias("n")).first()
-    longest = size.m or 0
-    phrases = F.broadcast(phrases) if size.n <= BROADCAST_ROWS else phrases.hint("merge")
+    phrases = written(phrases, "phrases")
+    sizes = {r.size: r.n for r in phrases.groupBy(F.length("phrase").alias("size")).agg(F.count("*").alias("n")).collect()}  # phrases have 128 characters at most
+    lengths = F.array(*map(F.lit, sorted(sizes))).cast("array<int>")
+    phrases = F.broadcast(phrases) if sum(sizes.values()) <= BROADCAST_ROWS else phrases.hint("merge")
     q = queries.select("query_id", normalize(F.col("query_text")).alias("q")).where("q is not null")
     starts = q.select("query_id", "q", F.explode(F.sequence(F.lit(1), F.length("q"))).alias("start"))
-    spans = starts.select("query_id", "start", "q", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(longest), F.length("q") - F.col("start") + 1)))).alias("n"))
+    spans = starts.select("query_id", "start", "q", F.explode(F.filter(lengths, lambda n: n <= F.length("q") - F.col("start") + 1)).alias("n"))
     found = spans.select("query_id", "start", F.substring(F.col("q"), F.col("start"), F.col("n")).alias("phrase")).join(phrases, "phrase")
     per_start = found.groupBy("query_id", "start").agg(F.max_by("phrase", F.length("phrase")).alias("phrase"))
     w = W.partitionBy("query_id").orderBy(F.desc(F.length("phrase")), "phrase", "start")

@@ -470,13 +470,13 @@ GRAPH_HITS = f"""{SYN}, {HYP}, ph as (select src p from syn union select dst fro
 
 @query(f"with {GRAPH_HITS} select query_id, cast(start as integer) start, p phrase from hit where r = 1")
 def longest_phrase_match(m: Model) -> DataFrame:
-    return Q.longest_matches(_part_queries(m.table("part")), Q.build(Q.page_edges(_graph_pages(m)))).select("query_id", "start", "phrase")
+    return Q.longest_matches(_part_queries(m.table("part")), written(Q.build(Q.page_edges(_graph_pages(m))), "graph")).select("query_id", "start", "phrase")
 
 
 @query(f"""with {GRAPH_HITS}, ex as (select distinct query_id, dst from (select query_id, p from hit where r = 1) h join (select src, dst from syn union select src, dst from hyp) e on e.src = h.p)
  select query_id, t original, cast(coalesce(count(distinct dst), 0) as bigint) n_expansions, coalesce(string_agg(dst, '|' order by dst), '') expansions, case when count(dst) > 0 then 'applied' else 'fallback' end status from q left join ex using (query_id) group by query_id, t""")
 def rewrite_terms(m: Model) -> DataFrame:
-    out = Q.rewrite(_part_queries(m.table("part")), Q.build(Q.page_edges(_graph_pages(m))))
+    out = Q.rewrite(_part_queries(m.table("part")), written(Q.build(Q.page_edges(_graph_pages(m))), "graph"))
     more = F.slice("terms", 2, 100)
     return out.select("query_id", F.col("terms")[0].alias("original"), F.size(more).cast("long").alias("n_expansions"), F.array_join(F.array_sort(more), "|").alias("expansions"), "status")
 
