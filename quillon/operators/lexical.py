@@ -82,8 +82,10 @@ def related_terms(title: str, aliases: list[str], budget: int = 256) -> list[str
 
 
 def _grams(text: Column) -> Column:
-    """The distinct trigrams of a text."""
-    return F.when(F.length(text) >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substring(text, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+    """The distinct trigrams of a text, from three shifted lists of its characters (a substring per place would walk the text each time)."""
+    chars = F.split(F.coalesce(text, F.lit("")), "")
+    pairs = F.zip_with(chars, F.slice(chars, 2, 1 << 30), lambda x, y: F.concat(x, y))
+    return F.array_distinct(F.filter(F.zip_with(pairs, F.slice(chars, 3, 1 << 30), lambda x, y: F.concat(x, y)), lambda g: F.length(g) == GRAM))
 
 
 def batch_topk(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
