@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each
 stage's rows as Parquet in the shared folder and reads them back as the next
-stage's documents, so that a lost executor costs one stage at most.
+stage's documents, so that a lost executor costs one stage at most. Empty tables
+give no rows; all stages but the last return the columns of documents, whatever others there are.
 """
 
 from __future__ import annotations
@@ -18,27 +19,27 @@ from quillon.llm.tokenbin import token_rows
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised scorer keeps."""
+    """Documents that the weakly supervised scorer keeps; null and wordless texts go, repeated rows are judged alike."""
     return kept(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each component of near duplicates."""
+    """One row of each component of near duplicates, the first by doc_id and place; rows without words or without an id stay."""
     return one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item has a window."""
+    """Documents in which no benchmark item of eight words or more has a window; null texts stay, an empty benchmark removes nothing."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: whole documents, up to three times each, so that every source's words come near its target."""
+    """The mix: whole documents, up to three times each, so that every source's words come near its target; wordless texts are never taken, a null source is one of its own."""
     return mixed_documents(docs)
 
 
 def token_id_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's ids are in the id files, how many they are, and their checksum."""
+    """Where each document's ids are in the id files, how many they are, and their checksum; a null text has the end id alone."""
     return token_rows(docs)
 
 
