@@ -19,7 +19,8 @@ K1, B, LEAST_IDF, GRAM = 1.2, 0.75, 1e-6, 3
 
 
 def term_frequency(term: str) -> Column:
-    return occurrences(F.col("title"), term) + occurrences(F.col("content"), term)
+    """Occurrences in title and content; a null text has none."""
+    return F.coalesce(occurrences(F.col("title"), term), F.lit(0)) + F.coalesce(occurrences(F.col("content"), term), F.lit(0))
 
 
 def document_length() -> Column:
@@ -28,7 +29,12 @@ def document_length() -> Column:
 
 
 def bm25(frequency: Column, length: Column, df: int, stats: dict) -> Column:
-    """Score of one phrase in an index of n rows of average length avgdl; the inverse frequency is never below 1e-6."""
+    """Score of one phrase that df rows have."""
+    return score_of(frequency, length, F.lit(df), stats)
+
+
+def score_of(frequency: Column, length: Column, df: Column, stats: dict) -> Column:
+    """Score of a phrase in an index of n rows of average length avgdl; the inverse frequency is never below 1e-6."""
     n = F.lit(float(stats["n"]))
     idf = F.log((n - df + 0.5) / (df + 0.5))
     f = frequency.cast("double")
@@ -63,10 +69,19 @@ def lexical_hits(pages: DataFrame, terms: list[str], scope: Column | None = None
     return hits.select("page_id", F.explode(F.filter(F.array(*each), lambda x: x["score"].isNotNull())).alias("h")).select("page_id", "h.term", "h.score")
 
 
-def lexical_topk(pages: DataFrame, terms: list[str], k: int, scope: Column | None = None, combine: str = "max", within: DataFrame | None = None) -> DataFrame:
-    """Best k pages by their best term (max) or by all terms together (sum); ties to the smaller page."""
+def lexical_topk(pages: DataFrame, terms: list[str], k: int, scope: Column | None = None, combine: str = "max", within: DataFrame | None = None, index=None) -> DataFrame:
+    """Best k pages by their best term (max) or by all terms together (sum); ties to the smaller page.
+
+    With a trigram index of these pages, terms of three or more characters are looked up there and no text is read for them.
+    """
     best = {"max": F.max, "sum": F.sum}[combine]("score")
-    hits = lexical_hits(pages, terms, scope, within).groupBy("page_id").agg(F.round(best, 9).alias("score"))
+    long = [t for t in terms if len(t) >= GRAM] if index is not None else []
+    short = [t for t in terms if t not in long]
+    hits = index.hits(long, scope, within) if long else None
+    if short or hits is None:
+        scanned = lexical_hits(pages, short, scope, within)
+        hits = scanned if hits is None else hits.unionByName(scanned)
+    hits = hits.groupBy("page_id").agg(F.round(best, 9).alias("score"))
     return hits.orderBy(F.desc("score"), "page_id").limit(k)
 
 
@@ -107,7 +122,6 @@ def batch_topk(pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     tf = lambda c: F.coalesce((F.length(c) - F.length(F.replace(F.col(c), F.col("term"), F.lit("")))) / F.length("term"), F.lit(0.0))
     hits = written(pairs.join(accepted, "page_id").select("query_id", "page_id", "dl", (tf("t") + tf("c")).alias("f")).where("f > 0"), "hits")
     df = hits.groupBy("query_id").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(float(stats.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = F.when(idf <= 0, LEAST_IDF).otherwise(idf) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(float(stats.avgdl or 1.0))))
+    score = score_of(F.col("f"), F.col("dl"), F.col("df"), stats.asDict())
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "page_id"))
     return hits.join(df, "query_id").select("query_id", "page_id", F.round(score, 9).alias("score")).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "page_id", "score")

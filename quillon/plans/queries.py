@@ -21,6 +21,7 @@ from ..operators import vectors as V
 from ..sources import readers as R
 from ..sources.model import Model, ctes
 from ..sources.shared import shared_path, written
+from ..sources.trigrams import TrigramIndex
 from ..streaming import streams as ST
 from .search import Answer, Query, answer, scope_or_relaxed, search
 
@@ -139,6 +140,38 @@ def bm25_or_related(m: Model) -> DataFrame:
     return L.lexical_topk(m.pages(), TERMS, 32, F.col("page_id") != 7, "sum")
 
 
+#: Indexes built in this process: (application, folder of the tables, its pages' files) -> index.
+INDEXES: dict[tuple, TrigramIndex] = {}
+
+
+def index_of(m: Model) -> TrigramIndex:
+    """The published index of a folder's pages, built when first asked for and again when their files change."""
+    hadoop = m.spark._jvm.org.apache.hadoop.fs
+    files: list[tuple] = []
+    for table in ("documents", "labels"):
+        there = hadoop.Path(f"{m.dir}/{table}.parquet")
+        files += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in there.getFileSystem(m.spark._jsc.hadoopConfiguration()).listStatus(there))
+    key = (m.spark.sparkContext.applicationId, m.dir, *files)
+    if key not in INDEXES:
+        INDEXES[key] = TrigramIndex(m.spark, shared_path(m.spark, "trigrams")).build(m.pages())
+    return INDEXES[key]
+
+
+@query(SQL["phrase_match"])
+def indexed_phrase_match(m: Model) -> DataFrame:
+    return index_of(m).frequencies(["license"]).select("page_id")
+
+
+@query(SQL["bm25_topk"])
+def indexed_bm25_topk(m: Model) -> DataFrame:
+    return L.lexical_topk(m.pages(), ["than the"], 10, (F.col("domain") == "en") & (F.col("toxic") == 0), index=index_of(m))
+
+
+@query(SQL["bm25_multiterm_max"])
+def indexed_bm25_multiterm(m: Model) -> DataFrame:
+    return L.lexical_topk(m.pages(), TERMS, 20, index=index_of(m))
+
+
 @query(ctes("pages") + " select page_id, 1.0::double score from pages where status = 'accepted' and (contains(lower(title), 'zu') or contains(lower(content), 'zu')) order by page_id limit 50")
 def like_short_term(m: Model) -> DataFrame:
     return L.lexical_topk(m.pages(), ["zu"], 50)
@@ -233,6 +266,11 @@ def hybrid_search(m: Model) -> DataFrame:
     return search(m.pages(), Query("than the", top_k=10, domain="en"), vectors=m.vectors(), query_vector=_query_vector(m))
 
 
+@query(SQL["hybrid_search"])
+def indexed_hybrid_search(m: Model) -> DataFrame:
+    return search(m.pages(), Query("than the", top_k=10, domain="en"), vectors=m.vectors(), query_vector=_query_vector(m), index=index_of(m))
+
+
 @query(_bm25_sql(["than the"], "max", 50, "domain = 'en'") + " select page_id, round(1.0::double / (60 + row_number() over (order by score desc, page_id)), 9) score from lex order by score desc, page_id limit 10")
 def fts_only_search(m: Model) -> DataFrame:
     return search(m.pages(), Query("than the", top_k=10, domain="en"))
@@ -942,6 +980,13 @@ def batch_bm25(m: Model) -> DataFrame:
     return L.batch_topk(m.pages(), queries, 5)
 
 
+@query(SQL["batch_bm25"])
+def indexed_batch_bm25(m: Model) -> DataFrame:
+    words = F.transform(F.split(F.lower("text"), " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    queries = m.table("benchmark").select(F.col("item_id").alias("query_id"), F.array_max(words)["w"].alias("term"))
+    return index_of(m).batch(queries, 5)
+
+
 @query("""with s as (select p_partkey k, p_partkey % 3 = 0 has, p_partkey % 5 = 0 stale from part)
  select cast(count(*) filter (not stale) as bigint) accepted, 0::bigint quarantined, 0::bigint failed, count(*) filter (stale) skipped, 0::bigint superseded, 0::bigint rejected, 0::bigint queued, count(*) total from s""")
 def compile_run(m: Model) -> DataFrame:

@@ -47,12 +47,13 @@ def search(
     multiplier: int = 5,
     facts: DataFrame | None = None,
     refs: DataFrame | None = None,
+    index=None,
 ) -> DataFrame:
-    """page_id, score: fused lexical and vector recall (lexical alone without vectors).
+    """page_id, score: fused lexical and vector recall (lexical alone without vectors); index: a trigram index of the pages.
 
     vectors: id (the page), vec, entity_id. A query with conditions needs facts and refs.
     """
-    return answer(pages, query, terms, vectors, query_vector, scope, multiplier, facts, refs).hits
+    return answer(pages, query, terms, vectors, query_vector, scope, multiplier, facts, refs, index=index).hits
 
 
 @dataclass
@@ -86,6 +87,7 @@ def answer(
     edges: DataFrame | None = None,
     intents: list = (),
     anchor: str = "category",
+    index=None,
 ) -> Answer:
     """A whole search: rewrite by the graph, conditions to anchors to pages (relaxed once if none is left), recall within them, fusion, and the scope once more before the cut."""
     query.check()
@@ -105,7 +107,7 @@ def answer(
         empty, conditions = tried or anchors.isEmpty(), left
         relaxed = tried and not anchors.isEmpty()
         within = written(pages.join(anchors.select(F.col("anchor").alias("entity_id")), "entity_id", "left_semi").select("page_id"), "scope")
-    lists = [lexical_topk(pages, terms or [query.text], depth, scope, within=within)]
+    lists = [lexical_topk(pages, terms or [query.text], depth, scope, within=within, index=index)]
     if vectors is not None and query_vector is not None:
         live = pages.where("status = 'accepted'") if scope is None else pages.where("status = 'accepted'").where(scope)
         live = live.select(F.col("page_id").alias("id"))
