@@ -39,6 +39,33 @@ def backoff_seconds(attempt: Column) -> Column:
     return F.when(attempt <= 1, 1).otherwise(F.least(F.pow(F.lit(2.0), F.least(attempt - 1, F.lit(6))), F.lit(60.0))).cast("long")
 
 
+#: The months of an HTTP date, and the most seconds that a Retry-After is taken for.
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+RETRY_AFTER_MOST = 300
+HTTP_DATE = r"\A\S*,\s+([0-9]{1,2})\s+([A-Z][a-z]{2})\s+([0-9]{4,5})\s+([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})\s+GMT\z"
+
+
+def retry_after_seconds(value: Column, now: Column) -> Column:
+    """Seconds of a Retry-After header, 0 to 300: a whole number, or an HTTP date less now (epoch seconds); null for other texts.
+
+    A day past its month's end runs on into the next month.
+    """
+    text = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    whole = F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text.try_cast("long"))
+    part = lambda k: F.regexp_extract(text, HTTP_DATE, k).try_cast("int")
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(text, HTTP_DATE, 2)).cast("int")
+    day, year, hour, minute, second = part(1), part(3), part(4), part(5), part(6)
+    sound = day.between(1, 31) & (month > 0) & (year >= 1970) & (hour <= 23) & (minute <= 59) & (second <= 60)
+    first = F.unix_date(F.make_date(F.when(sound, year), month, F.lit(1))).cast("long")
+    seconds = F.coalesce(whole, (first + day - 1) * 86400 + hour * 3600 + minute * 60 + second - now)
+    return F.when(seconds.isNotNull(), F.least(F.greatest(seconds, F.lit(0)), F.lit(RETRY_AFTER_MOST))).cast("int")
+
+
+def seed_hash(title: Column, content: Column) -> Column:
+    """SHA-256 of title and content with a NUL between; null texts are empty."""
+    return F.sha2(F.concat(F.coalesce(title, F.lit("")), F.char(F.lit(0)), F.coalesce(content, F.lit(""))), 256)
+
+
 def budget_tokens(prompt: Column, source: Column, output_most: int) -> Column:
     return F.octet_length(prompt) + F.octet_length(source) + 256 + output_most
 

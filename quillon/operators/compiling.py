@@ -12,13 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import backoff_seconds, framed_hash, ink, reference_id_valid, reference_markers, render_markdown, semver_key
+from ..functions.scalars import RETRY_AFTER_MOST, backoff_seconds, framed_hash, ink, reference_id_valid, reference_markers, render_markdown, semver_key
 
 # Default thresholds of the gate, and the limits of a run.
 GATE = {"overall": 0.75, "coverage": 0.60, "density": 0.40}
 KNOWLEDGE_BYTES = 64 * 1024
 LEASE_SECONDS = 300
-RETRY_AFTER_MOST = 300
 
 
 def prepare(entities: DataFrame, knowledge: list[str]) -> DataFrame:
@@ -231,6 +230,40 @@ def mock_evidence(entities: DataFrame, fields: list[str]) -> DataFrame:
     return whole.withColumn("markdown", render_markdown(F.col("sections")))
 
 
+#: Fixed value: what the mock compiler puts before each assertion of a page of low quality.
+LOW_QUALITY_MARK = "低质量改写："
+MISSING_SOURCE = "MISSING_SOURCE_REFS"
+
+
+def mock_outcomes(entities: DataFrame, fields: list[str]) -> DataFrame:
+    """entity_id, status (ok, invalid, retryable or permanent), code, retry_after, sections, markdown of the mock compiler's scripts.
+
+    entities also have behavior (normal, low_quality, retryable, permanent), code and retry_after. A page of low quality is well formed,
+    but its assertions don't quote their source; a source without a string leaf is invalid. Failures have no evidence.
+    """
+    script = entities.select("entity_id", "behavior", F.col("code").alias("q_code"), F.col("retry_after").alias("q_after"))
+    fails = F.col("behavior").isin("retryable", "permanent")
+    spoilt = F.transform("sections", lambda s: s.withField("assertions", F.transform(s["assertions"], lambda a: a.withField("text", F.concat(F.lit(LOW_QUALITY_MARK), a["text"])))))
+    whole = script.join(mock_evidence(entities.where(~fails), fields).drop("markdown"), "entity_id", "left")
+    whole = whole.withColumn("sections", F.when(F.col("behavior") == "low_quality", spoilt).otherwise(F.col("sections")))
+    empty = F.col("sections").isNull()
+    return whole.select(
+        "entity_id",
+        F.when(fails, F.col("behavior")).when(empty, "invalid").otherwise("ok").alias("status"),
+        F.when(fails, F.col("q_code")).when(empty, MISSING_SOURCE).alias("code"),
+        F.when(F.col("behavior") == "retryable", F.col("q_after")).alias("retry_after"),
+        "sections",
+        F.when(~empty, render_markdown(F.col("sections"))).alias("markdown"),
+    )
+
+
+def has_existing_data(pages: DataFrame, tasks: DataFrame) -> DataFrame:
+    """One row, found: is there an accepted page, or a task pending, running or dead? Each side stops at its first row."""
+    live = pages.where("status = 'accepted'").select(F.lit(1).alias("n")).limit(1)
+    open_ = tasks.where("status in ('pending', 'running', 'dead')").select(F.lit(1).alias("n")).limit(1)
+    return live.unionAll(open_).agg((F.count("*") > 0).alias("found"))
+
+
 def check_markdown(pages: DataFrame) -> DataFrame:
     """pages (entity_id, sections, markdown) with their marker counts and MARKDOWN_MISMATCH or UNUSED_REF issues.
 

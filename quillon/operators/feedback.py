@@ -13,6 +13,11 @@ ACTIONS = ("supplemental_compile", "query_template", "ignore", "compile_dead_let
 STATUSES = ("pending", "approved", "ignored", "failed")
 
 
+def pending_reviews(reviews: DataFrame) -> DataFrame:
+    """domain, action, pending: how many reviews wait; a domain and action without any has no row."""
+    return reviews.where("status = 'pending'").groupBy("domain", "action").agg(F.count("*").alias("pending"))
+
+
 def window(df: DataFrame, column: str, start: str, end: str, domain: str | None = None) -> DataFrame:
     """Rows of a closed window, both ends included."""
     out = df.where(F.col(column).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))

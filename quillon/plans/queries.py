@@ -584,6 +584,14 @@ def review_list(m: Model) -> DataFrame:
     return FB.decide(reviews, decisions).where("domain = 'en'").orderBy("review_id").limit(1000).select("review_id", "domain", "status")
 
 
+@query(ctes("logs") + " select domain, (['query_template', 'supplemental_compile', 'ignore'])[log_id % 3 + 1] action, count(*) pending from logs where log_id % 4 <> 0 group by 1, 2")
+def pending_reviews(m: Model) -> DataFrame:
+    """How many reviews wait, by domain and action; those of every fourth log are decided."""
+    k = F.col("log_id")
+    action = F.element_at(F.array(*map(F.lit, ("query_template", "supplemental_compile", "ignore"))), (k % 3 + 1).cast("int"))
+    return FB.pending_reviews(m.logs().select("domain", action.alias("action"), F.when(k % 4 == 0, "approved").otherwise("pending").alias("status")))
+
+
 @query(ctes("logs", "feedback") + """ select event_id, reject_reason from (select event_id, case when l.log_id is null then 'log_missing' when l.domain <> f.domain then 'domain' when kind = 'rate' and (rating is null or rating not between 1 and 5) then 'rating'
  when kind in ('click', 'adopt') and page_id is null then 'page_missing' end reject_reason from feedback f left join logs l on f.log_id = l.log_id) where reject_reason is not null""")
 def rejection_audit(m: Model) -> DataFrame:
@@ -844,6 +852,11 @@ def json_extraction(m: Model) -> DataFrame:
 # --- sinks, packs and the rest of the compile pipeline -----------------------
 
 
+@query(ctes("pages") + " select page_id, sha256(concat(title, chr(0), content)) seed_hash from pages")
+def seed_hash(m: Model) -> DataFrame:
+    return m.pages().select("page_id", S.seed_hash(F.col("title"), F.col("content")).alias("seed_hash"))
+
+
 @query(ctes("pages") + """, new as (select page_id + 1 page_id, 'new ' || title title from pages where page_id % 3 = 0)
  select page_id, title from pages where page_id not in (select page_id from new) union all select page_id, title from new""")
 def page_upsert(m: Model) -> DataFrame:
@@ -902,6 +915,39 @@ def mock_compile(m: Model) -> DataFrame:
     return C.mock_evidence(_sources(m), ["name", "type", "words"]).select("entity_id", "markdown")
 
 
+@query(f"""with {MOCK}, b as (select 'shop:part:' || cast(p_partkey as varchar) entity_id, (['normal', 'low_quality', 'retryable', 'permanent'])[p_partkey % 4 + 1] behavior, p_partkey % 40 after, p_partkey % 10 = 0 bare from part),
+ ok as (select b.entity_id, string_agg('## ' || pointer || chr(10) || chr(10) || '- ' || case when behavior = 'low_quality' then '{C.LOW_QUALITY_MARK}' else '' end || val || '[[ref:r' || cast(k as varchar) || ']]' || chr(10), chr(10) order by k) markdown from nm join b on nm.entity_id = b.entity_id where behavior in ('normal', 'low_quality') and not bare group by b.entity_id)
+ select b.entity_id, case when behavior in ('retryable', 'permanent') then behavior when markdown is null then 'invalid' else 'ok' end status, case behavior when 'retryable' then 'HTTP_429' when 'permanent' then 'HTTP_401' else case when markdown is null then 'MISSING_SOURCE_REFS' end end code, case when behavior = 'retryable' then after end retry_after, markdown from b left join ok on b.entity_id = ok.entity_id""")
+def mock_modes(m: Model) -> DataFrame:
+    """The mock compiler's four scripts in turn; every tenth source is empty."""
+    k = F.col("page_id")
+    behavior = F.element_at(F.array(*map(F.lit, ("normal", "low_quality", "retryable", "permanent"))), (k % 4 + 1).cast("int"))
+    sources = _sources(m).withColumn("behavior", behavior).withColumn("code", F.when(k % 4 == 2, "HTTP_429").otherwise("HTTP_401")).withColumn("retry_after", k % 40)
+    bare = {"name": F.when(k % 10 != 0, F.col("name")), "type": F.when(k % 10 != 0, F.col("type")), "words": F.when(k % 10 != 0, F.col("words"))}
+    return C.mock_outcomes(sources.withColumns(bare), ["name", "type", "words"]).select("entity_id", "status", "code", "retry_after", "markdown")
+
+
+@query("""with r as (select o_orderkey task_id, case when o_orderkey % 6 in (0, 5) then o_orderkey % 400 when o_orderkey % 6 = 1 then -(o_orderkey % 400) when o_orderkey % 6 = 2 then o_orderkey % 3 * 3600 + o_orderkey % 60 * 60 + o_orderkey % 50 end raw from orders)
+ select task_id, cast(case when raw is not null then least(greatest(raw, 0), 300) end as integer) as seconds from r""")
+def retry_after(m: Model) -> DataFrame:
+    """Retry-After texts of all kinds: numbers, dates after now, dates of an unknown month, words, and numbers between spaces."""
+    k = F.col("o_orderkey")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    date = lambda month: F.concat(F.lit(f"Sat, 01 {month} 2025 "), two(k % 3), F.lit(":"), two(k % 60), F.lit(":"), two(k % 50), F.lit(" GMT"))
+    n = (k % 400).cast("string")
+    text = F.element_at(F.array(n, F.concat(F.lit("-"), n), date("Mar"), date("Mai"), F.lit("soon"), F.concat(F.lit("  "), n, F.lit(" "))), (k % 6 + 1).cast("int"))
+    return m.table("orders").select(k.alias("task_id"), S.retry_after_seconds(text, F.lit(1740787200)).alias("seconds"))
+
+
+@query("select (select count(*) from orders where o_orderstatus = 'O') + (select count(*) from part where p_size = 50) > 0 found, 'some' which union all select false found, 'none' which")
+def existing_data(m: Model) -> DataFrame:
+    """Accepted pages or open tasks: with both there, and with neither."""
+    pages, orders = m.table("part").select(F.when(F.col("p_size") == 50, "accepted").otherwise("candidate").alias("status")), m.table("orders")
+    tasks = orders.select(F.when(F.col("o_orderstatus") == "O", "pending").otherwise("done").alias("status"))
+    none = C.has_existing_data(pages.where("status <> 'accepted'"), tasks.where("status = 'done'"))
+    return C.has_existing_data(pages, tasks).withColumn("which", F.lit("some")).unionAll(none.withColumn("which", F.lit("none")))
+
+
 @query("""select 'shop:part:' || cast(p_partkey as varchar) entity_id, case p_partkey % 3 when 0 then '' when 1 then 'MARKDOWN_MISMATCH' else 'MARKDOWN_MISMATCH,UNUSED_REF' end issues from part""")
 def markdown_validation(m: Model) -> DataFrame:
     """Pages as rendered, with another text, and with a dropped reference."""
