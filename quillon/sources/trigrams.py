@@ -13,7 +13,7 @@ from __future__ import annotations
 import uuid
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -84,14 +84,16 @@ class TrigramIndex:
         return starts.groupBy("page_id", "term").agg(F.count("*").alias("f"))
 
     def hits(self, terms: list[str], scope: Column | None = None, within: DataFrame | None = None) -> DataFrame:
-        """page_id, term, score, as `lexical.lexical_hits` finds them; no text is read."""
-        found = written(self.frequencies(terms), "frequencies")
-        df = {r.term: r.n for r in found.groupBy("term").agg(F.count("*").alias("n")).collect()}
+        """page_id, term, score, as `lexical.lexical_hits` finds them; no text is read. At least one term."""
+        terms, told = list(dict.fromkeys(terms)), Observation()
+        counts = [F.count(F.when(F.col("term") == t, 1)).alias(f"df{k}") for k, t in enumerate(terms)]
+        found = written(self.frequencies(terms).observe(told, *counts), "frequencies")
+        df = {t: told.get[f"df{k}"] for k, t in enumerate(terms)}
         docs = self.table("docs")
         seen = found.join((docs if scope is None else docs.where(scope)).select("page_id", "dl"), "page_id")
         if within is not None:
             seen = seen.join(within.select("page_id").distinct(), "page_id", "left_semi")
-        score = F.coalesce(*[F.when(F.col("term") == t, bm25(F.col("f"), F.col("dl"), n, self.live)) for t, n in df.items()], F.lit(None).cast("double"))
+        score = F.coalesce(*[F.when(F.col("term") == t, bm25(F.col("f"), F.col("dl"), n, self.live)) for t, n in df.items()])
         return seen.select("page_id", "term", score.alias("score"))
 
     def batch(self, queries: DataFrame, k: int) -> DataFrame:
