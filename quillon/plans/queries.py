@@ -1066,13 +1066,13 @@ def stream_feedback_dedup(m: Model) -> DataFrame:
 
 @query(ctes("logs") + " select date_trunc('day', ts) window_start, domain, count(*) queries, cast(sum(case when hit_count = 0 then 1 else 0 end) as bigint) zero_hits, cast(sum(case when rewrite_failure then 1 else 0 end) as bigint) failures from logs group by 1, 2")
 def stream_log_window(m: Model) -> DataFrame:
-    return ST.drain(ST.log_windows(_stream(m).logs()), "complete").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return ST.drain(ST.log_windows(_stream(m).logs()), "update", ["window_start", "domain"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("select date_trunc('hour', ts) window_start, user_id \"key\", count(*) requests, greatest(count(*) - 2, 0) refused from events group by 1, 2")
 def rate_limit_window(m: Model) -> DataFrame:
     events = _stream(m).table("events").select("ts", F.col("user_id").alias("key"))
-    return ST.drain(ST.rate_windows(events, 2, "1 hour"), "complete").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return ST.drain(ST.rate_windows(events, 2, "1 hour"), "update", ["window_start", "key"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query(None)

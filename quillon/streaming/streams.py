@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.shared import shared_path
 
@@ -37,21 +38,29 @@ def rate_windows(events: DataFrame, limit: int, size: str = "1 minute", delay: s
     return counts.select(F.col("window.start").alias("window_start"), "key", "requests", F.greatest(F.col("requests") - limit, F.lit(0)).alias("refused"))
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Everything that the stream gives for the input that is there now.
 
-    Complete results are replaced batch by batch, appended ones added; the checkpoint is in the shared folder, so a lost driver goes on from it.
+    Appended results are added batch by batch; of updated ones (with their keys) the last batch's row stays, so that state needs to
+    hold only what the watermark leaves open. The checkpoint is in the shared folder, so a lost driver goes on from it.
     """
+    if (mode == "update") != bool(keys):
+        raise ValueError("updates need keys, and only they do")
     spark = stream.sparkSession
     path = shared_path(spark, "stream")
     schema = stream.schema
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}" if mode == "append" else f"{path}/out/batch=0")
+        batch.write.mode("overwrite").parquet(f"{path}/out/q_batch={number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{path}/out/*")
+    if not keys:
+        return spark.read.schema(schema).parquet(f"{path}/out/*")
+    found = spark.read.schema(StructType([*schema.fields, StructField("q_batch", LongType())])).parquet(f"{path}/out")
+    rest = [c for c in schema.names if c not in keys]
+    last = found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "q_batch").alias("q_last"))
+    return last.select(*keys, *[F.col(f"q_last.{c}").alias(c) for c in rest])
 
 
 LEASE = "task_id long, outcome string, at double"
