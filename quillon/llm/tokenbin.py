@@ -17,9 +17,10 @@ streamed to files in the shared folder. A task writes under a name of its own
 and hands back a manifest row at its end, so the files of lost or repeated
 attempts are never read. The driver holds the manifest only (a row per file).
 
-Texts are tokenized by their white-space-free pieces, each once per worker: for a
-tokenizer that drops white space and never joins across it, this equals
-encoding the whole text (tests compare them).
+Texts are tokenized by their white-space-free pieces, each once per worker while it
+is kept, and looked up once for some 4 MB of texts: for a tokenizer that drops
+white space and never joins across it, this equals encoding the whole text
+(tests compare them).
 
 Edge cases: null and empty texts hold the end id only; repeated doc_ids are
 documents of their own, ordered by text; null doc_ids come first; an empty table
@@ -119,43 +120,60 @@ class ChunkTokenizer:
         self.is_end = np.zeros(max(i for i, _ in ends) + 1, bool)
         self.is_end[[i for i, t in ends if t.endswith("</w>")]] = True
 
-    def split(self, texts: list[bytes | None]) -> list[list[bytes]]:
-        plain = [t if t and not (b"<|" in t or b"\xcc" in t or b"\xcd" in t) else b"" for t in texts]
-        raw = np.frombuffer(b"\n".join([*plain, b""]).translate(UPPER_TO_LOWER), np.uint8)
+    def split(self, texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+        """(the pieces of all texts in order, the number of pieces before each text and after the last)."""
+        odd = [i for i, t in enumerate(texts) if t and (b"<|" in t or b"\xcc" in t or b"\xcd" in t)]
+        raw = np.frombuffer(b"\n".join([*(t or b"" for t in texts), b""]).translate(UPPER_TO_LOWER), np.uint8)
+        bounds = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
+        if odd:
+            raw = raw.copy()
+            for i in odd:
+                raw[bounds[i] : bounds[i + 1] - 1] = np.frombuffer(texts[i], np.uint8)
         mark = TRAILING[raw]
-        edges = np.flatnonzero(np.diff(mark, prepend=False))  # runs of punctuation: starts, ends
+        edges = np.flatnonzero(mark[1:] != mark[:-1]) + 1  # runs of punctuation: starts, ends
+        if len(mark) and mark[0]:
+            edges = edges[1:]  # a run that nothing precedes
         starts, ends = edges[::2], edges[1::2]
-        starts = starts[(starts > 0) & LOWER[raw[starts - 1]] & WHITE[raw[ends]]] if len(starts) else starts
-        apart = np.insert(raw, starts, 32).tobytes()
-        bounds = np.cumsum([0, *(len(t) + 1 for t in plain)])
-        bounds = (bounds + np.searchsorted(starts, bounds)).tolist()
-        return [apart[i:j].split() if p or not t else t.split() for t, p, i, j in zip(texts, plain, bounds, bounds[1:], strict=False)]
+        starts = starts[LOWER[raw[starts - 1]] & WHITE[raw[ends]]]
+        if odd:
+            starts = starts[~np.isin(np.searchsorted(bounds, starts, "right") - 1, odd)]
+        word = ~WHITE[raw]
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        first[starts] = True
+        data, offsets = raw[word], np.flatnonzero(first[word])
+        return _binary(data, np.append(offsets, len(data))), np.searchsorted(np.flatnonzero(first), bounds)
 
     def learn(self, new: set[bytes]) -> None:
         """Words of letters are encoded many to a call and told apart by their word ends; other pieces one by one."""
         words, rest = [], []
         for x in new:
-            s = x.decode()
-            (words if s.isalpha() and s.lower().isalpha() else rest).append((x, s))
-        for k in range(0, len(words), 512):
-            some = words[k : k + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(s for _, s in some), add_special_tokens=False).ids)
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) != len(some):
-                rest += some
-                continue
-            data, size, at = ids.astype(self.dtype).tobytes(), self.dtype.itemsize, 0
-            for (x, _), end in zip(some, ends.tolist(), strict=True):
-                self.known[x] = data[at * size : end * size]
-                at = end
+            (words if x.isalpha() or ((s := x.decode()).isalpha() and s.lower().isalpha()) else rest).append(x)
+        for k in range(0, len(words), 1 << 13):
+            parts = [words[i : i + 512] for i in range(k, min(k + (1 << 13), len(words)), 512)]
+            for some, e in zip(parts, self._batch([b" ".join(some) for some in parts]), strict=True):
+                ids = np.array(e.ids, self.dtype)
+                ends = np.flatnonzero(self.is_end[ids]) + 1
+                if len(ends) != len(some):
+                    rest += some
+                    continue
+                data, at = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+                self.known.update(zip(some, map(data.__getitem__, map(slice, [0, *at], at)), strict=True))
         for k in range(0, len(rest), 10_000):
             some = rest[k : k + 10_000]
-            for (x, _), e in zip(some, self.tokenizer.encode_batch([s for _, s in some], add_special_tokens=False), strict=True):
+            for x, e in zip(some, self._batch(some), strict=True):
                 self.known[x] = np.array(e.ids, self.dtype).tobytes()
 
+    def _batch(self, texts: list[bytes]) -> list:
+        return self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        split = self.split(texts)
-        flat = [x for chunks in split for x in chunks]
+        """Each distinct piece of the texts is looked up once; Arrow finds the distinct ones and lays out their ids."""
+        chunks, bounds = self.split(texts)
+        if not len(chunks):
+            return [b""] * len(texts)
+        coded = chunks.dictionary_encode()
+        flat = _values(coded.dictionary)
         ids = list(map(self.known.get, flat))
         missing = [k for k, x in enumerate(ids) if x is None]
         if missing:
@@ -167,11 +185,19 @@ class ChunkTokenizer:
                 ids[k] = self.known[flat[k]]
             if len(self.known) > CACHED:  # words in use will come back from the generation before
                 self.before, self.known = self.known, {}
-        out, at = [], 0
-        for chunks in split:
-            out.append(b"".join(ids[at : at + len(chunks)]))
-            at += len(chunks)
-        return out
+        laid = _binary(b"".join(ids), np.cumsum([0, *map(len, ids)])).take(coded.indices)
+        return _values(_binary(laid.buffers()[2], np.frombuffer(laid.buffers()[1], np.int64)[bounds]))
+
+
+def _binary(data, offsets: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data if data is not None else b"")])
+
+
+def _values(column: pa.Array) -> list[bytes]:
+    """A whole large_binary array's values, without a scalar object for each."""
+    _, offsets, data = column.buffers()
+    data, at = data.to_pybytes(), np.frombuffer(offsets, np.int64)[: len(column) + 1].tolist()
+    return [data[i:j] for i, j in zip(at, at[1:], strict=False)]
 
 
 @functools.cache

@@ -245,6 +245,24 @@ def test_tokens_equal_whole_texts():
             assert np.frombuffer(got, coder.dtype).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_distinct_pieces_are_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    coder = tokenbin.ChunkTokenizer(tokenbin.tokenizer_path())
+    coder.known, coder.before = Counted(), Counted()
+    texts = ["!! One two, " * 5000, None, "", " \n", "two <|endoftext|> Two," * 50, "...", "one"]
+    got = coder.encode([None if t is None else t.encode() for t in texts])
+    assert Counted.asked < 30
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, coder.dtype).tolist() == coder.tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert coder.encode([]) == [] and coder.encode([None, b" "]) == [b"", b""]
+
+
 def test_token_files(spark, tmp_path):
     texts = ["Zwei words", None, "", "x " * 200_000, "again", "again"]
     ids = [5, 3, 4, 1, 2, 2]
