@@ -118,11 +118,20 @@ def euclidean(a: Column, b: Column) -> Column:
 
 
 def hashed_embedding(text: Column, dims: int = 768) -> Column:
-    """Deterministic unit vector: character hashes signed and summed by bucket."""
+    """Deterministic unit vector: character hashes signed and summed by bucket.
+
+    Each step's list is bound once by a lambda of one element, as Spark would evaluate it anew at every mention. Codes (twice the
+    bucket, and one more for a positive sign) are counted by where each begins among all, sorted, with every code there once more.
+    """
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
     chars = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
-    hashes = F.transform(chars, lambda c: F.xxhash64(c))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.aggregate(F.filter(hashes, lambda h: F.pmod(h, F.lit(dims).cast("long")) == k), F.lit(0.0), lambda t, h: t + F.when(h > 0, 1.0).otherwise(-1.0)))
-    return F.transform(raw, lambda x: F.when(norm(raw) > 0, x / norm(raw)).otherwise(x))
+    code = lambda h: (F.pmod(h, F.lit(dims).cast("long")) * 2 + F.when(h > 0, 1).otherwise(0)).cast("int")
+    codes = F.transform(F.transform(chars, lambda c: F.xxhash64(c)), code)
+    begins = lambda s: F.array_compact(F.transform(s, lambda x, i: F.when(~x.eqNullSafe(F.get(s, i - 1)), i)))
+    sums = lambda at: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: (F.get(at, 2 * k + 2) - 2 * F.get(at, 2 * k + 1) + F.get(at, 2 * k)).cast("double"))
+    unit = lambda raw: bound(norm(raw), lambda n: F.transform(raw, lambda x: F.when(n > 0, x / n).otherwise(x)))
+    whole = F.sort_array(F.concat(codes, F.sequence(F.lit(0), F.lit(2 * dims))))
+    return bound(bound(bound(whole, begins), sums), unit)
 
 
 def semver_key(version: Column) -> Column:

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that one task of `spread` gets, about.
+ROWS_EACH = 100_000
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the session names for checkpoints; only a session on this machine alone (tests) gets a temporary one."""
@@ -28,3 +31,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str, rows_each: int = ROWS_EACH) -> DataFrame:
+    """df dealt by keys to so many tasks that each has about rows_each rows, however small its files or its shuffled bytes are (neither splits nor adaptive sizes look at rows); counts df first."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_each))
+    return df.repartition(n, *keys)

@@ -166,3 +166,18 @@ def test_golden_problems(spark, tmp_path):
     known = spark.createDataFrame([("a:b:1",)], "entity_id string")
     _, problems = R.read_golden(spark, str(tmp_path / "g.jsonl"), known)
     assert sorted(r.problem for r in problems.collect()) == ["duplicate", "kind", "unknown_entity"]
+
+
+def test_hashed_embedding_is_one_pass(spark):
+    texts = ["", None, "a", "aab", "日本語 straße", "aa" * 40]
+    hashes = {r.c: r.h for r in spark.createDataFrame([(c,) for c in sorted({c for t in texts for c in t or ""})], "c string").select("c", F.xxhash64("c").alias("h")).collect()}
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for dims in (1, 3, 16):
+        for r in df.select("id", S.hashed_embedding(F.col("t"), dims).alias("v")).collect():
+            raw = [0.0] * dims
+            for c in texts[r.id] or "":
+                raw[hashes[c] % dims] += 1.0 if hashes[c] > 0 else -1.0
+            n = sum(x * x for x in raw) ** 0.5
+            assert r.v == [x / n if n else x for x in raw]
+    shown = S.hashed_embedding(F.col("t"), 16)._jc.toString()
+    assert shown.count("xxhash64") == 1 and len(shown) < 3000
