@@ -78,16 +78,16 @@ def paths(edges: DataFrame, start: DataFrame, depth: int = DEPTH) -> DataFrame:
     return out
 
 
-def snapshot_problems(pages: DataFrame, edges: DataFrame, most: int = 100_000) -> DataFrame:
-    """problem, n of a graph's source: empty ids, generations under 1, repeated pages, too many rows."""
+def snapshot_problems(pages: DataFrame, edges: DataFrame, most: int | None = 100_000) -> DataFrame:
+    """problem, n of a graph's source: empty ids, generations under 1, repeated pages, too many rows (unless most is None)."""
     count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n")
     parts = [
         count(pages.where("page_id is null or trim(cast(page_id as string)) = ''"), "empty_id"),
         count(pages.where("generation < 1 or generation is null"), "generation"),
         count(pages.groupBy("page_id").agg(F.count("*").alias("c")).where("c > 1"), "repeated_page"),
-        pages.agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.lit("too_many_pages").alias("problem"), "n"),
-        edges.agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.lit("too_many_edges").alias("problem"), "n"),
     ]
+    if most is not None:
+        parts += [df.agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.lit(name).alias("problem"), "n") for df, name in ((pages, "too_many_pages"), (edges, "too_many_edges"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
