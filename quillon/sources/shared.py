@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that one task of `spread` gets, about.
-ROWS_EACH = 100_000
+ROWS_EACH = 250_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -33,7 +33,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(spark: SparkSession, n_rows: int, rows_each: int = ROWS_EACH) -> int:
+    """How many tasks n_rows rows need: neither splits nor adaptive sizes, which look at packed bytes, bound the rows that a task sorts."""
+    return max(spark.sparkContext.defaultParallelism, -(-n_rows // rows_each))
+
+
 def spread(df: DataFrame, *keys: str, rows_each: int = ROWS_EACH) -> DataFrame:
-    """df dealt by keys to so many tasks that each has about rows_each rows, however small its files or its shuffled bytes are (neither splits nor adaptive sizes look at rows); counts df first."""
-    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_each))
-    return df.repartition(n, *keys)
+    """df dealt by keys to as many tasks as its rows need; counts df first."""
+    return df.repartition(tasks_for(df.sparkSession, df.count(), rows_each), *keys)

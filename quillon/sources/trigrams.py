@@ -1,8 +1,9 @@
 """A published trigram index: every place of every trigram in the titles and contents of the accepted pages.
 
 A generation is a folder of three tables. `places` (gram, page_id, at) has one row per place, case-folded, titles from 0 and
-contents from 2^30, so that no phrase spans both; it is dealt by range of gram and page and sorted, so that the filter on a gram
-finds its run by the files' statistics, and a frequent gram's run spans many files. `grams` (gram, n_places) tells how frequent each
+contents from 2^30, so that no phrase spans both. Pages are dealt to files by their number, some four million places a file, before
+their places are made: these are sorted by gram in memory and never shuffled or spilled. The filter on a gram finds its run in each
+file by the column index, and a frequent gram's run is spread over all files. `grams` (gram, n_places) tells how frequent each
 is. `docs` has the pages without their texts, and their lengths (dl). The pointer names a generation only once it is whole.
 
 page_id is the pages' key. Null texts are empty; an empty table gives an empty index.
@@ -18,13 +19,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.lexical import GRAM, bm25, document_length, score_of
-from .shared import written
+from .shared import tasks_for, written
 from .sinks import PublishedTable
 
 CONTENT_AT = 1 << 30
 #: Texts are cut into pieces of so many characters, with the overlap that trigrams need, so that a row's lists stay small.
 PIECE = 1 << 16
 GROUP_BYTES = 16 << 20
+#: Characters whose places one task of a build sorts, about: some 300 MB of its memory.
+CHARS_EACH = 1 << 22
 
 
 def cover(term: str) -> list[int]:
@@ -55,12 +58,15 @@ class TrigramIndex:
         accepted = pages.where("status = 'accepted'")
         folder = f"{self.path}/generation-{uuid.uuid4().hex}"
         accepted.withColumn("dl", document_length()).drop("title", "content").write.parquet(f"{folder}/docs")
-        placed = places_of(accepted).repartitionByRange("gram", "page_id").sortWithinPartitions("gram", "page_id", "at")
+        told = self.spark.read.parquet(f"{folder}/docs").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.coalesce(F.sum("dl"), F.lit(0)).alias("chars")).first()
+        n = tasks_for(self.spark, told.chars, CHARS_EACH)
+        dealt = accepted.select("page_id", "title", "content").repartition(n, "page_id")
+        placed = places_of(dealt).sortWithinPartitions("gram", "page_id", "at")
         placed.write.option("parquet.block.size", GROUP_BYTES).parquet(f"{folder}/places")
         grams = self.spark.read.parquet(f"{folder}/places").groupBy("gram").agg(F.count("*").alias("n_places"))
         grams.write.parquet(f"{folder}/grams")
-        told = self.spark.read.parquet(f"{folder}/docs").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        self.pointer.publish(told.withColumn("folder", F.lit(folder)), force=True)
+        row = self.spark.createDataFrame([(told.n, told.avgdl, folder)], "n long, avgdl double, folder string")
+        self.pointer.publish(row, force=True)
         self.__dict__.pop("live", None)
         return self
 

@@ -90,3 +90,17 @@ def test_new_generation(spark, tmp_path):
 
 def test_cover():
     assert all({c + i for c in cover("x" * n) for i in range(3)} == set(range(n)) for n in range(3, 30))
+
+
+def test_build_deals_pages_not_places(spark, tmp_path):
+    """A page's places are in one file, whatever their trigrams: no place was shuffled."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        rows = [(k, f"title {k}", " ".join(str(k * j) for j in range(50)), "accepted") for k in range(40)]
+        index = TrigramIndex(spark, str(tmp_path / "dealt")).build(spark.createDataFrame(rows, SCHEMA))
+    finally:
+        spark.conf.set(name, before)
+    files = index.table("places").select("page_id", F.input_file_name().alias("file")).distinct()
+    assert files.select("file").distinct().count() > 1 and files.count() == 40
