@@ -86,7 +86,10 @@ class TrigramIndex:
         wanted = [(t, low[k : k + GRAM], k, len(cover(low))) for t in dict.fromkeys(terms) for low in [t.lower()] for k in cover(low)]
         asked = self.spark.createDataFrame(wanted, "term string, gram string, off int, n int")
         places = self.table("places").where(F.col("gram").isin(sorted({w[1] for w in wanted})))
-        starts = places.join(F.broadcast(asked), "gram").groupBy("page_id", "term", "n", (F.col("at") - F.col("off")).alias("start")).agg(F.count("*").alias("met")).where("met = n")
+        met = places.join(F.broadcast(asked), "gram").select("page_id", "term", "n", (F.col("at") - F.col("off")).alias("start"))
+        known = self.table("grams").join(F.broadcast(asked), "gram").agg(F.coalesce(F.sum("n_places"), F.lit(0))).first()[0]
+        met = met.repartition(tasks_for(self.spark, known), "page_id")
+        starts = met.groupBy("page_id", "term", "n", "start").agg(F.count("*").alias("met")).where("met = n")
         return starts.groupBy("page_id", "term").agg(F.count("*").alias("f"))
 
     def hits(self, terms: list[str], scope: Column | None = None, within: DataFrame | None = None) -> DataFrame:

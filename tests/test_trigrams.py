@@ -104,3 +104,8 @@ def test_build_deals_pages_not_places(spark, tmp_path):
         spark.conf.set(name, before)
     files = index.table("places").select("page_id", F.input_file_name().alias("file")).distinct()
     assert files.select("file").distinct().count() > 1 and files.count() == 40
+
+
+def test_frequencies_deal_rows_by_page_once(index):
+    plan = index.frequencies(["alpha beta"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "REPARTITION_BY_NUM" in plan
