@@ -109,3 +109,12 @@ def test_build_deals_pages_not_places(spark, tmp_path):
 def test_frequencies_deal_rows_by_page_once(index):
     plan = index.frequencies(["alpha beta"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_batch_deals_out_asked_trigrams_only(spark, index, monkeypatch):
+    from quillon.sources import trigrams
+
+    plans, write = {}, trigrams.written
+    monkeypatch.setattr(trigrams, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or write(df, name))
+    index.batch(spark.createDataFrame([(1, "alpha"), (2, "beta")], "query_id int, term string"), 3)
+    assert plans["frequencies"].count("Join LeftSemi") == 2
