@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import RETRY_AFTER_MOST, backoff_seconds, framed_hash, ink, reference_id_valid, reference_markers, render_markdown, semver_key
+from ..sources.shared import ROWS_EACH, tasks_for, written
 
 # Default thresholds of the gate, and the limits of a run.
 GATE = {"overall": 0.75, "coverage": 0.60, "density": 0.40}
@@ -88,12 +89,13 @@ def check_refs(refs: DataFrame, units: DataFrame, sources: DataFrame) -> DataFra
     """refs with their issues (array of codes) and whether they are valid.
 
     refs: page_id, section, ref_id, ref_entity, ref_revision, pointer, value, quote. units: entity_id, pointer, value.
-    sources: page_id, entity_id, source_revision.
+    sources: page_id, entity_id, source_revision. Each step's rows are dealt to tasks by the number of refs (which is counted first).
     """
+    n = tasks_for(refs.sparkSession, refs.count(), joined=True)
     twice = F.count("*").over(W.partitionBy("page_id", "ref_id")) > 1
-    seen = refs.withColumn("known", reference_id_valid(F.col("ref_id")) & ~twice).join(sources, "page_id")
+    seen = refs.repartition(n, "page_id").withColumn("known", reference_id_valid(F.col("ref_id")) & ~twice).join(sources.repartition(n, "page_id"), "page_id")
     leaf = units.select("entity_id", "pointer", F.col("value").alias("leaf"))
-    seen = seen.join(leaf, ["entity_id", "pointer"], "left")
+    seen = seen.repartition(n, "entity_id", "pointer").join(leaf.repartition(n, "entity_id", "pointer"), ["entity_id", "pointer"], "left")
     code = lambda test, name: F.when(F.coalesce(test, F.lit(False)), F.lit(name))
     known = F.col("known")
     broken = [
@@ -115,11 +117,13 @@ def check_refs(refs: DataFrame, units: DataFrame, sources: DataFrame) -> DataFra
 def check_assertions(assertions: DataFrame, checked: DataFrame, required: bool = True) -> DataFrame:
     """assertions with their issue and whether they are supported: all refs valid and of the same section, the text equal to the quotes joined by a space.
 
-    assertions: page_id, section, position, text, ref_ids.
+    assertions: page_id, section, position, text, ref_ids. Each step's rows are dealt to tasks by the number of checked refs and of assertions.
     """
+    n = tasks_for(checked.sparkSession, max(checked.count(), assertions.count()), joined=True)
     each = assertions.select("page_id", "section", "position", F.posexplode_outer("ref_ids").alias("i", "ref_id"))
-    found = each.join(checked.where("valid").select("page_id", "section", "ref_id", "quote"), ["page_id", "section", "ref_id"], "left")
-    told = found.groupBy("page_id", "section", "position").agg(F.count("ref_id").alias("refs"), F.count("quote").alias("good"), F.array_sort(F.collect_list(F.struct("i", "quote"))).alias("quotes"))
+    by_ref, by_place = ["page_id", "section", "ref_id"], ["page_id", "section", "position"]
+    found = each.repartition(n, *by_ref).join(checked.where("valid").select("page_id", "section", "ref_id", "quote").repartition(n, *by_ref), by_ref, "left")
+    told = found.repartition(n, *by_place).groupBy("page_id", "section", "position").agg(F.count("ref_id").alias("refs"), F.count("quote").alias("good"), F.array_sort(F.collect_list(F.struct("i", "quote"))).alias("quotes"))
     text = F.array_join(F.transform("quotes", lambda q: q["quote"]), " ")
     issue = (
         F.when(~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)) | F.coalesce(F.col("text").rlike(r"[\r\n]"), F.lit(False)), "ASSERTION_UNSUPPORTED")
@@ -127,13 +131,15 @@ def check_assertions(assertions: DataFrame, checked: DataFrame, required: bool =
         .when(F.col("good") < F.col("refs"), "UNKNOWN_REF")
         .when(F.col("text") != text, "ASSERTION_UNSUPPORTED")
     )
-    return assertions.join(told, ["page_id", "section", "position"], "left").select("page_id", "section", "position", "text", "ref_ids", issue.alias("issue"), (issue.isNull() & (F.col("refs") > 0)).alias("supported"))
+    return assertions.repartition(n, *by_place).join(told, by_place, "left").select("page_id", "section", "position", "text", "ref_ids", issue.alias("issue"), (issue.isNull() & (F.col("refs") > 0)).alias("supported"))
 
 
 def ref_report(refs: DataFrame, assertions: DataFrame) -> DataFrame:
-    """Per page: the counts that scores need, from checked refs and assertions."""
-    supported = assertions.where("supported").select("page_id", "section", F.explode("ref_ids").alias("ref_id")).join(refs, ["page_id", "section", "ref_id"])
-    covered = supported.groupBy("page_id").agg(F.count_distinct("pointer").alias("covered"))
+    """Per page: the counts that scores need, from checked refs and assertions, whose number says to how many tasks their rows are dealt."""
+    n, by_ref = tasks_for(refs.sparkSession, max(refs.count(), assertions.count()), joined=True), ["page_id", "section", "ref_id"]
+    supported = assertions.where("supported").select("page_id", "section", F.explode("ref_ids").alias("ref_id")).repartition(n, *by_ref).join(refs.repartition(n, *by_ref), by_ref)
+    refs, assertions = refs.repartition(n, "page_id"), assertions.repartition(n, "page_id")
+    covered = supported.select("page_id", "pointer").repartition(n, "page_id").groupBy("page_id").agg(F.count_distinct("pointer").alias("covered"))
     by_assertion = assertions.groupBy("page_id").agg(F.count("*").alias("assertions"), F.sum(F.col("supported").cast("long")).alias("supported"), F.sum(ink(F.col("text"))).cast("long").alias("total_chars"), F.sum(F.when(F.col("supported"), ink(F.col("text"))).otherwise(0)).cast("long").alias("information_chars"), F.count("issue").alias("assertion_issues"))
     by_ref = refs.groupBy("page_id").agg(F.count("*").alias("refs"), F.sum(F.col("valid").cast("long")).alias("valid_refs"), F.sum(F.size("issues")).cast("long").alias("ref_issues"))
     return by_assertion.join(by_ref, "page_id", "left").join(covered, "page_id", "left").select("page_id", "assertions", "supported", "total_chars", "information_chars", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("refs", "valid_refs", "covered")], (F.col("assertion_issues") + F.coalesce("ref_issues", F.lit(0))).alias("issues"))

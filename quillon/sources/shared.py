@@ -33,9 +33,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tasks_for(spark: SparkSession, n_rows: int, rows_each: int = ROWS_EACH) -> int:
-    """How many tasks n_rows rows need: neither splits nor adaptive sizes, which look at packed bytes, bound the rows that a task sorts."""
-    return max(spark.sparkContext.defaultParallelism, -(-n_rows // rows_each))
+def tasks_for(spark: SparkSession, n_rows: int, rows_each: int = ROWS_EACH, joined: bool = False) -> int:
+    """How many tasks n_rows rows need: neither splits nor adaptive sizes, which look at packed bytes, bound the rows that a task sorts.
+
+    Sides of a join that are dealt to fewer tasks than the session's shuffles would be dealt again by Spark.
+    """
+    n = max(spark.sparkContext.defaultParallelism, -(-n_rows // rows_each))
+    usual = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or spark.conf.get("spark.sql.shuffle.partitions")
+    return max(n, int(usual)) if joined else n
 
 
 def spread(df: DataFrame, *keys: str, rows_each: int = ROWS_EACH) -> DataFrame:

@@ -121,7 +121,7 @@ class TrigramIndex:
         rest = asked.drop("n").join(first.select("query_id", F.col("off").alias("done")), "query_id").where("off <> done").select("query_id", "off", "gram")
         sought = starts.where("n > 1").join(rest, "query_id").withColumn("at", F.col("start") + F.col("off"))
         others = written(rest.select("gram").distinct().join(grams, "gram"), "others")  # only these trigrams' places are dealt out
-        keys, n = ["gram", "page_id", "at"], tasks_for(self.spark, others.agg(F.coalesce(F.sum("n_places"), F.lit(0))).first()[0])
+        keys, n = ["gram", "page_id", "at"], tasks_for(self.spark, others.agg(F.coalesce(F.sum("n_places"), F.lit(0))).first()[0], joined=True)
         there = places.join(others.select("gram"), "gram", "left_semi").repartition(n, *keys)
         met = sought.repartition(n, *keys).join(there, keys, "left_semi").groupBy("query_id", "n", "page_id", "start").agg(F.count("*").alias("met")).where("met = n - 1")
         whole = starts.where("n = 1").select("query_id", "page_id").unionAll(met.select("query_id", "page_id"))

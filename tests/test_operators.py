@@ -181,3 +181,28 @@ def test_hashed_embedding_is_one_pass(spark):
             assert r.v == [x / n if n else x for x in raw]
     shown = S.hashed_embedding(F.col("t"), 16)._jc.toString()
     assert shown.count("xxhash64") == 1 and len(shown) < 3000
+
+
+def dealt_by_rows(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_citation_steps_are_dealt_by_rows(spark):
+    refs = spark.createDataFrame([(p, 0, f"r{p}", f"e{p}", 1, "/fields/a", "v", "v") for p in range(1, 9)], "page_id int, section int, ref_id string, ref_entity string, ref_revision int, pointer string, value string, quote string")
+    sources = refs.selectExpr("page_id", "ref_entity entity_id", "ref_revision source_revision")
+    units = refs.selectExpr("ref_entity entity_id", "pointer", "value")
+    assertions = refs.selectExpr("page_id", "section", "page_id % 2 position", "value text", "array(ref_id) ref_ids")
+    small = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(small)
+    spark.conf.set(small, "-1")
+    try:
+        checked = C.check_refs(refs, units, sources)
+        assert dealt_by_rows(checked)
+        told = C.check_assertions(assertions, checked.localCheckpoint())
+        assert dealt_by_rows(told)
+        report = C.ref_report(checked.localCheckpoint(), told.localCheckpoint())
+        assert dealt_by_rows(report)
+        assert {(r.refs, r.valid_refs, r.covered, r.supported, r.issues) for r in report.collect()} == {(1, 1, 1, 1, 0)}
+    finally:
+        spark.conf.set(small, before)
