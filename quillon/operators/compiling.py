@@ -189,8 +189,10 @@ def recover(tasks: DataFrame, heads: DataFrame, now: int, retries: int = 3) -> D
 
 def consistency(claims: DataFrame) -> DataFrame:
     """Per (entity_id, pointer): occurrences, values and whether they agree. claims: page_id, entity_id, pointer, value; a page's equal values count once."""
-    once = claims.select("page_id", "entity_id", "pointer", "value").distinct()
-    groups = once.groupBy("entity_id", "pointer").agg(F.count("*").alias("occurrences"), F.count_distinct("value").alias("n_values"), F.min("value").alias("least_value"))
+    rows = claims.select("page_id", "entity_id", "pointer", "value", F.pmod(F.xxhash64("page_id"), F.lit(8)).alias("part"))  # a frequent pointer is eight tasks'
+    n = tasks_for(claims.sparkSession, rows.count(), 2 * ROWS_EACH)
+    each = rows.repartition(n, "entity_id", "pointer", "part").distinct().groupBy("entity_id", "pointer", "value", "part").agg(F.count("*").alias("pages"))
+    groups = each.drop("part").repartition(n, "entity_id", "pointer").groupBy("entity_id", "pointer").agg(F.sum("pages").alias("occurrences"), F.count_distinct("value").alias("n_values"), F.min("value").alias("least_value"))
     return groups.where("occurrences >= 2").withColumn("agrees", F.col("n_values") == 1)
 
 

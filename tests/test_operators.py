@@ -206,3 +206,10 @@ def test_citation_steps_are_dealt_by_rows(spark):
         assert {(r.refs, r.valid_refs, r.covered, r.supported, r.issues) for r in report.collect()} == {(1, 1, 1, 1, 0)}
     finally:
         spark.conf.set(small, before)
+
+
+def test_consistency_is_dealt_by_rows(spark):
+    rows = [(p, "e", "/a", "x" if p < 50 else None) for p in range(60)] * 2 + [(1, "f", "/a", "x"), (2, "f", "/a", "y"), (1, "g", "/a", "x")]
+    got = C.consistency(spark.createDataFrame(rows, "page_id int, entity_id string, pointer string, value string"))
+    assert dealt_by_rows(got)
+    assert {tuple(r) for r in got.collect()} == {("e", "/a", 60, 1, "x", True), ("f", "/a", 2, 2, "x", False)}
