@@ -50,6 +50,8 @@ def admit(sources: DataFrame, heads: DataFrame, pages: DataFrame, tasks: DataFra
     tasks: entity_id, task_status, task_hash, task_revision.
     """
     rev, head = F.col("source_revision"), F.col("head_revision")
+    n = tasks_for(sources.sparkSession, sources.count(), joined=True)
+    sources, heads, pages, tasks = (df.repartition(n, "entity_id") for df in (sources, heads, pages, tasks))
     joined = sources.join(heads, "entity_id", "left").join(pages, "entity_id", "left").join(tasks, "entity_id", "left")
     same_task = F.col("task_hash") == F.col("source_hash")
     waiting = F.col("task_status").isin("pending", "running")
@@ -76,12 +78,24 @@ def claim(tasks: DataFrame, now: int, most_tasks: int, run_budget: int, retries:
     """
     keys = shards or ["domain"]
     due = tasks.where((F.col("status") == "pending") & (F.col("next_attempt_at") <= now) & (F.col("retry_count") < retries))
-    w = W.partitionBy(*keys).orderBy("next_attempt_at", "task_id")
-    so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     most = run_budget if day_budget is None else min(run_budget, day_budget - day_used)
     reserved = F.coalesce("reserved", F.lit(0)) if "reserved" in tasks.columns else F.lit(0)
     own = F.lit(True) if task_budget is None else reserved + F.col("cost") <= task_budget
-    seen = due.withColumns({"running": F.sum("cost").over(so_far), "place": F.row_number().over(w), "all_fit": F.min(own.cast("int")).over(so_far)})
+    # A shard may be the whole queue: each range of it sums for itself, on top of what the shard's ranges before it come to.
+    n = tasks_for(tasks.sparkSession, due.count())
+    dealt = due.select(*keys, "next_attempt_at", "task_id", "cost", own.cast("int").alias("own")).repartitionByRange(n, *keys, "next_attempt_at", "task_id")
+    dealt = written(dealt.withColumn("range", F.spark_partition_id()), "due")
+    parts = dealt.groupBy(*keys, "range").agg(F.sum("cost").alias("cost"), F.count("*").alias("rows"), F.min("own").alias("own"))
+    before = W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("range").alias("_range"), F.sum("cost").over(before).alias("_cost"), F.sum("rows").over(before).alias("_rows"), F.min("own").over(before).alias("_own")).where("_rows > 0")
+    w = W.partitionBy(*keys, "range").orderBy("next_attempt_at", "task_id")
+    so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = dealt.repartition(n, *keys, "range").withColumns({"q_sum": F.sum("cost").over(so_far), "q_place": F.row_number().over(w), "q_fit": F.min("own").over(so_far)})
+    same = F.col("range") == F.col("_range")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    seen = seen.join(F.broadcast(parts), same, "left")  # at most a row a range
+    seen = seen.withColumns({"running": F.coalesce(F.col("q_sum") + F.col("_cost"), "q_sum", "_cost"), "place": F.col("q_place") + F.coalesce("_rows", F.lit(0)), "all_fit": F.least("q_fit", "_own")})
     return seen.where((F.col("running") <= most) & (F.col("place") <= most_tasks) & (F.col("all_fit") == 1)).select(*keys, "task_id", "cost", "running", F.lit(now + LEASE_SECONDS).alias("lease_until"))
 
 
@@ -227,7 +241,7 @@ def mock_evidence(entities: DataFrame, fields: list[str]) -> DataFrame:
     """
     units = coverable_units(entities, fields)
     w = W.partitionBy("entity_id").orderBy("pointer")
-    numbered = units.withColumn("k", F.row_number().over(w)).withColumn("ref", F.concat(F.lit("r"), F.col("k").cast("string")))
+    numbered = units.repartition(tasks_for(units.sparkSession, units.count()), "entity_id").withColumn("k", F.row_number().over(w)).withColumn("ref", F.concat(F.lit("r"), F.col("k").cast("string")))
     section = F.struct(
         F.col("k"),
         F.col("pointer").alias("heading"),

@@ -213,3 +213,19 @@ def test_consistency_is_dealt_by_rows(spark):
     got = C.consistency(spark.createDataFrame(rows, "page_id int, entity_id string, pointer string, value string"))
     assert dealt_by_rows(got)
     assert {tuple(r) for r in got.collect()} == {("e", "/a", 60, 1, "x", True), ("f", "/a", 2, 2, "x", False)}
+
+
+def test_claim_of_one_long_shard(spark):
+    rows = [("d" if k % 7 else None, k, k * 31 % 50, "pending", 0, None if k % 11 == 0 else k % 5 + 1) for k in range(1, 400)]
+    tasks = spark.createDataFrame(rows, "domain string, task_id int, next_attempt_at int, status string, retry_count int, cost int")
+    claimed = C.claim(tasks, 40, 150, 400, task_budget=5)
+    assert "REPARTITION_BY_NUM" in claimed._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for domain in ("d", None):
+        total = place = 0
+        for _, k, _, _, _, cost in sorted((r for r in rows if r[0] == domain and r[2] <= 40), key=lambda r: (r[2], r[1])):
+            total, place = total + (cost or 0), place + 1
+            if total > 400 or place > 150:
+                break
+            want.add((domain, k, cost, total))
+    assert {(r.domain, r.task_id, r.cost, r.running) for r in claimed.collect()} == want and len(want) > 150
